@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.tokenize import decode_ids, encode_texts
+from quillspark.llm.mix import mix_sources
+from quillspark.llm.tokenize import count_tokens, decode_ids, encode_texts
 from quillspark.session import table
 
 
@@ -18,6 +19,21 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode_ids(encode_texts(table(spark, d, "documents")))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded}
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = count_tokens(table(spark, d, "documents"), ["doc_id", "source"])
+    return mix_sources(sized.select(F.col("doc_id").alias("id"), "source", F.col("n_tokens").alias("size")), table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: each document with its number of copies."""
+    return _mix(spark, d)[0].select(F.col("id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "copies")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source of mix_targets."""
+    return _mix(spark, d)[1]
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 ORACLE = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

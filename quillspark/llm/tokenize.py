@@ -144,15 +144,42 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.distinct().select("word", ids("word").alias("ids"))
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of ids of each document of a block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            lengths = np.frombuffer(batch.column("lengths")[k].as_py(), np.int32)
+            pairs = batch.column("coded").slice(k, 1).flatten()
+            per_word = np.zeros(len(pairs), np.int64)
+            per_word[pairs.field("pos").to_numpy()] = pairs.field("n").to_numpy()
+            codes = np.frombuffer(batch.column("codes")[k].as_py(), np.uint16 if len(pairs) < 1 << 16 else np.uint32)
+            sums = np.r_[0, np.cumsum(per_word[codes])] if len(codes) else np.zeros(1, np.int64)
+            bounds = np.r_[0, np.cumsum(lengths)]
+            yield pa.RecordBatch.from_arrays([batch.column("docs").slice(k, 1).flatten(), pa.array(sums[bounds[1:]] - sums[bounds[:-1]])], names=["doc", "n_tokens"])
+
+
+def _join_back(blocks: DataFrame, path: str, value: F.Column, kind: str) -> DataFrame:
+    """The blocks, each with what its distinct words were given."""
+    words = blocks.select("block", F.posexplode("words").alias("pos", "word"))
+    given = encode_words(words.select("word"), path).select("word", value)
+    coded = words.join(given, "word").groupBy("block").agg(F.collect_list(F.struct("pos", kind.split(":")[0])).alias("coded"))
+    empty = F.array().cast(f"array<struct<pos:int,{kind}>>")
+    return blocks.drop("words").join(coded, "block", "left").select("docs", "lengths", "codes", F.coalesce("coded", empty).alias("coded"))
+
+
 def encode_texts(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """doc_id and ids of every row."""
-    path = ranks_path(tokenizer, folder)
     kind = dict(texts.dtypes)[doc_id]
-    blocks = word_blocks(texts, doc_id, text)
-    words = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    coded = words.join(encode_words(words.select("word"), path), "word").groupBy("block").agg(F.collect_list(F.struct("pos", "ids")).alias("coded"))
-    joined = blocks.drop("words").join(coded, "block", "left").withColumn("coded", F.coalesce("coded", F.array().cast("array<struct<pos:int,ids:array<int>>>")))
-    return joined.select("docs", "lengths", "codes", "coded").mapInArrow(_lay_out, f"doc {kind}, ids array<int>").withColumnRenamed("doc", doc_id)
+    joined = _join_back(word_blocks(texts, doc_id, text), ranks_path(tokenizer, folder), F.col("ids"), "ids:array<int>")
+    return joined.mapInArrow(_lay_out, f"doc {kind}, ids array<int>").withColumnRenamed("doc", doc_id)
+
+
+def count_tokens(texts: DataFrame, carried: list[str], text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """The carried columns and n_tokens of every row; the ids themselves are never laid out."""
+    rows = texts.select(F.struct(*carried).alias("row"), F.col(text).alias("text"))
+    kind = dict(rows.dtypes)["row"]
+    joined = _join_back(word_blocks(rows, "row", "text"), ranks_path(tokenizer, folder), F.size("ids").alias("n"), "n:int")
+    return joined.mapInArrow(_count, f"doc {kind}, n_tokens bigint").select("doc.*", "n_tokens")
 
 
 def pieces(spark: SparkSession, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -179,7 +206,3 @@ def decode_ids(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", tok
     whole = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("span", "h"))).alias("parts"))
     text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x["h"]), "")), "UTF-8")
     return rows.join(whole, "row", "left").select(F.col("doc").alias(doc_id), F.coalesce(text, F.lit("")).alias("text"))
-
-
-def token_counts(encoded: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    return encoded.select(doc_id, F.size("ids").cast("bigint").alias("n_tokens"))
