@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.langid import detect, fit, wrong_labels
 from quillspark.llm.mix import mix_sources
 from quillspark.llm.tokenize import count_tokens, decode_ids, encode_texts
 from quillspark.session import table
@@ -34,6 +35,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    documents, languages = table(spark, d, "documents"), table(spark, d, "languages")
+    return detect(documents, fit(documents, languages), languages)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return wrong_labels(_stretches(spark, d)).select("doc_id", "first_para", "lang").distinct()
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every document with its language and confidence."""
+    return _stretches(spark, d)
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 
 ORACLE = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
