@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.langid import detect, fit, wrong_labels
 from quillspark.llm.mix import mix_sources
+from quillspark.llm.neardup import groups, near_duplicates, similar_pairs
 from quillspark.llm.tokenize import count_tokens, decode_ids, encode_texts
 from quillspark.session import table
 
@@ -49,6 +50,19 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return _stretches(spark, d)
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
+def _alike(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates(table(spark, d, "extracted_payloads"), "payload_id", "markdown", similarity=0.5)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(*_alike(spark, d)).toDF("payload_a", "payload_b")
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row a payload: its group of near-duplicates and its links."""
+    return groups(*_alike(spark, d)).withColumnRenamed("doc", "payload_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 
 ORACLE = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
