@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from quillspark.functions.keys import BLANKS
 from quillspark.session import bounded_batches
 
-SAMPLE_DOCS = 600  # labelled documents a language that the dictionaries are made of
+SAMPLE_DOCS = 200  # labelled documents a language that the dictionaries are made of
 SAMPLE_PARAGRAPHS = 3  # paragraphs of each, of at most SAMPLE_CHARS
-SAMPLE_CHARS = 2000
+SAMPLE_CHARS = 1000
 DICTIONARY_BYTES = 1 << 16
 ROUNDS = 3
 LEVEL = 3
