@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.boilerplate import page_boilerplate, web_pages
 from quillspark.llm.langid import detect, fit, wrong_labels
 from quillspark.llm.mix import mix_sources
 from quillspark.llm.neardup import groups, near_duplicates, similar_pairs
@@ -63,6 +64,10 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(*_alike(spark, d)).withColumnRenamed("doc", "payload_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_boilerplate(web_pages(table(spark, d, "extracted_payloads"), table(spark, d, "rendered_captures")))
+
+
+QUERIES = {"p5_found": p5_found, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 
 ORACLE = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
