@@ -3,12 +3,14 @@
 A text is the set of its sequences of five successive words. Texts with equal
 sets are one class; only one representative of a class takes part in the join.
 Each set is sampled once by ``WIDTH`` minimum hashes: the token with the least
-hash under each seed. A run of the join puts every set into the bucket of one
-sampled token; a bucket of more than ``LIMIT`` sets is split by ``BRANCHES``
-further tokens chosen by its path, level by level, and smaller buckets are
-compared by brute force. Runs are repeated until pairs at the threshold are met
-with the wanted recall even if every bucket on their paths had to be split.
-Comparing in a bucket uses a sketch of two bits of each sampled token; the
+hash under each seed. A run of the join puts every set into the bucket of a
+path of sampled tokens. How many tokens the paths begin with follows from how
+alike a few sampled sets are, so that the first buckets aren't all too large to
+compare; a bucket of more than ``LIMIT`` sets is split by ``BRANCHES`` further
+tokens chosen by its path, level by level, and smaller buckets are compared by
+brute force. Runs are repeated until pairs at the threshold are met with the
+wanted recall, splits included.
+Comparing in a bucket uses a sketch of four bits of each sampled token; the
 pairs it lets through are checked exactly on the texts.
 
 Defined results: null, empty and blank texts and those of fewer than five words
@@ -37,7 +39,9 @@ WIDTH = 64
 LIMIT = 512
 BRANCHES = 3
 DEPTH = 6
-RECALL = 0.9995
+SAMPLE = 1000  # sets that the first depth is estimated from
+SKETCH = ("s1", "s2", "s3", "s4")
+RECALL = 0.999
 HOT_SHARE = 1000  # a bucket with more than one in so many rows is split without being gathered
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,12 +60,22 @@ _B = _RNG.integers(0, 1 << 32, WIDTH, dtype=np.uint64).astype(np.uint32)
 _POWERS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def runs_needed(similarity: float, recall: float = RECALL, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold is met with the wanted probability."""
-    meet = 1.0
-    for _ in range(depth - 1):
-        meet = 1 - (1 - similarity * meet) ** BRANCHES
-    return min(WIDTH, math.ceil(math.log(1 - recall) / math.log(1 - similarity * meet)))
+def runs_needed(similarity: float, first: int, recall: float = RECALL) -> int:
+    """Runs after which a pair at the threshold is met with the wanted probability, if paths begin with so many tokens and are split once more."""
+    meet = similarity**first * (1 - (1 - similarity) ** BRANCHES)
+    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+
+
+def first_depth(best: np.ndarray, total: int) -> int:
+    """Tokens that paths begin with: as many as make a set's bucket smaller than LIMIT / 4 on the average."""
+    if len(best) < 2:
+        return 1
+    alike = np.stack([(best == row).mean(1) for row in best])
+    np.fill_diagonal(alike, 0)
+    for d in range(1, 5):
+        if (alike**d).sum() / (len(best) * (len(best) - 1)) * total <= LIMIT / 4:
+            return d
+    return 5
 
 
 def word_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -96,29 +110,32 @@ def minima(tokens: np.ndarray, work: dict) -> np.ndarray:
     return best
 
 
-def sketch(best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of each minimum, as two 64-bit integers a row."""
-    bits = mix64(best.astype(np.uint64) + _MIX) & np.uint64(3)
-    shifts = (2 * np.arange(WIDTH // 2)).astype(np.uint64)
-    half = lambda x: np.bitwise_or.reduce(x << shifts, axis=-1)
-    return half(bits[..., : WIDTH // 2]), half(bits[..., WIDTH // 2 :])
+def sketch(best: np.ndarray) -> np.ndarray:
+    """Four bits of each minimum, as four 64-bit integers a row."""
+    bits = mix64(best.astype(np.uint64) + _MIX) & np.uint64(15)
+    shifts = (4 * np.arange(16)).astype(np.uint64)
+    return np.bitwise_or.reduce(bits.reshape(*best.shape[:-1], 4, 16) << shifts, axis=-1)
 
 
-def agreeing(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray) -> np.ndarray:
-    """Number of minima whose two bits agree."""
-    odd = np.uint64(0x5555555555555555)
-    a, b = x1 ^ y1, x2 ^ y2
-    return WIDTH - np.bitwise_count((a | (a >> np.uint64(1))) & odd).astype(np.int16) - np.bitwise_count((b | (b >> np.uint64(1))) & odd).astype(np.int16)
+def agreeing(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Number of minima whose four bits agree."""
+    differ = np.zeros(len(x[0]), np.int16)
+    for a, b in zip(x, y):
+        d = a ^ b
+        d |= d >> np.uint64(2)
+        d |= d >> np.uint64(1)
+        differ += np.bitwise_count(d & np.uint64(0x1111111111111111))
+    return WIDTH - differ
 
 
 def least_agreement(similarity: float) -> int:
     """Agreement that pairs at the threshold miss less than once in 2,000."""
-    p = similarity + (1 - similarity) / 4
+    p = similarity + (1 - similarity) / 16
     return math.floor(WIDTH * p - 3.4 * math.sqrt(WIDTH * p * (1 - p)))
 
 
 def sign_texts(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, n, set1, set2 (128 bits that stand for the set), minima, s1, s2 of every text with a sequence."""
+    """doc, n, set1, set2 (128 bits that stand for the set), minima and s1 to s4 (their sketch) of every text with a sequence."""
     bounded_batches(rows.sparkSession)
     kind = dict(rows.dtypes)[doc_id]
 
@@ -129,19 +146,19 @@ def sign_texts(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
             if not use:
                 continue
             best = np.stack([minima(sets[i], {}) for i in use])
-            s1, s2 = sketch(best)
+            drawn = sketch(best).view(np.int64)
             names = [xxhash.xxh3_128_intdigest(sets[i].tobytes()) for i in use]
             halves = np.array([[n >> 64, n & 0xFFFFFFFFFFFFFFFF] for n in names], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(pa.array(use)), pa.array([len(sets[i]) for i in use], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([b.tobytes() for b in best]), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))],
-                names=["doc", "n", "set1", "set2", "minima", "s1", "s2"],
+                [batch.column("doc").take(pa.array(use)), pa.array([len(sets[i]) for i in use], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([b.tobytes() for b in best]), *[pa.array(drawn[:, c].copy()) for c in range(4)]],
+                names=["doc", "n", "set1", "set2", "minima", *SKETCH],
             )
 
     texts = rows.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    return texts.mapInArrow(sign, f"doc {kind}, n int, set1 bigint, set2 bigint, minima binary, s1 bigint, s2 bigint")
+    return texts.mapInArrow(sign, f"doc {kind}, n int, set1 bigint, set2 bigint, minima binary, s1 bigint, s2 bigint, s3 bigint, s4 bigint")
 
 
-def _paths(level: int, runs: int):
+def _paths(level: int, runs: int, first: int):
     """Bucket keys of each row: the first tokens of all runs, or the further tokens that a full bucket's path chooses."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,29 +166,38 @@ def _paths(level: int, runs: int):
             n = batch.num_rows
             if not n:
                 continue
-            best = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32).reshape(n, WIDTH)
-            if level:
-                path = batch.column("key").to_numpy().view(np.uint64)
-                many = BRANCHES
-            else:
-                path, many = np.zeros(n, np.uint64), runs
+            best = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32).reshape(n, WIDTH).astype(np.uint64)
             made = []
             with np.errstate(over="ignore"):
-                for j in range(many):
-                    place = np.full(n, j) if not level else (mix64(path + np.uint64(1000 * level + j) * _MIX) % np.uint64(WIDTH)).astype(np.int64)
-                    token = best[np.arange(n), place].astype(np.uint64)
-                    made.append(mix64(mix64(path + np.uint64(j + 1) * _MIX) ^ (token + (place.astype(np.uint64) << np.uint64(32)))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(made).view(np.int64)), *[pa.concat_arrays([batch.column(c)] * many) for c in ("doc", "s1", "s2")]], names=["key", "doc", "s1", "s2"]
-            )
+                if level:
+                    path, rows = batch.column("key").to_numpy().view(np.uint64), np.arange(n)
+                    for j in range(BRANCHES):
+                        place = mix64(path + np.uint64(1000 * level + j) * _MIX) % np.uint64(WIDTH)
+                        made.append(mix64(mix64(path + np.uint64(j + 1) * _MIX) ^ (best[rows, place.astype(np.int64)] + (place << np.uint64(32)))))
+                else:
+                    for places in _first_places(runs, first):
+                        path = np.zeros(n, np.uint64)
+                        for place in places:
+                            path = mix64(mix64(path + _MIX) ^ (best[:, place] + (np.uint64(place) << np.uint64(32))))
+                        made.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), *[pa.concat_arrays([batch.column(c)] * len(made)) for c in ("doc", *SKETCH)]], names=["key", "doc", *SKETCH])
 
     return keys
 
 
+def _first_places(runs: int, first: int) -> list[np.ndarray]:
+    """The sampled tokens that each run's paths begin with: drawn in turn, so that runs share as few as can be."""
+    rng = np.random.default_rng(7)
+    drawn: list[int] = []
+    while len(drawn) < runs * first:
+        drawn += rng.permutation(WIDTH).tolist()
+    return [np.unique(drawn[r * first : (r + 1) * first]) for r in range(runs)]
+
+
 def _compare(limit: int, least: int, last: bool):
     """Brute force within the runs of equal keys of a sorted partition; rows of full buckets come out with their key."""
 
-    def pairs(key: np.ndarray, doc: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[list, list]:
+    def pairs(key: np.ndarray, doc: np.ndarray, drawn: list[np.ndarray]) -> tuple[list, list]:
         left, right = [], []
         rows = np.arange(len(key))
         step = 1
@@ -181,7 +207,7 @@ def _compare(limit: int, least: int, last: bool):
             if not len(rows):
                 return left, right
             other = rows + step
-            good = agreeing(s1[rows], s2[rows], s1[other], s2[other]) >= least
+            good = agreeing([x[rows] for x in drawn], [x[other] for x in drawn]) >= least
             if good.any():
                 left.append(doc[rows[good]])
                 right.append(doc[other[good]])
@@ -204,7 +230,7 @@ def _compare(limit: int, least: int, last: bool):
                 yield out(cols[1][over], None, key[over])
             single = np.repeat(sizes == 1, sizes)
             cols = [c[~over & ~single] for c in cols]
-            left, right = pairs(cols[0], cols[1], cols[2].view(np.uint64), cols[3].view(np.uint64))
+            left, right = pairs(cols[0], cols[1], [c.view(np.uint64) for c in cols[2:]])
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -212,7 +238,7 @@ def _compare(limit: int, least: int, last: bool):
                 yield out(both[:, 0].copy(), both[:, 1].copy(), None)
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("key", "doc", "s1", "s2")]
+            cols = [batch.column(c).to_numpy() for c in ("key", "doc", *SKETCH)]
             if full is not None:
                 same = cols[0] == full
                 if same.any():
@@ -239,16 +265,19 @@ def _compare(limit: int, least: int, last: bool):
 def candidate_pairs(signed: DataFrame, similarity: float) -> DataFrame:
     """a < b of sets that met in a bucket and whose sketches agree.
 
-    :param signed: doc bigint, minima, s1, s2; one row a set.
+    :param signed: doc bigint, minima and its sketch; one row a set.
     """
     spark = signed.sparkSession
-    runs, least = runs_needed(similarity), least_agreement(similarity)
+    total = signed.count()
+    sample = signed.where(F.pmod(F.xxhash64("doc", F.lit(9)), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, 1.2 * SAMPLE / max(1, total))))).select("minima").limit(SAMPLE).collect()
+    first = first_depth(np.array([np.frombuffer(r.minima, np.uint32) for r in sample]), total)
+    runs, least = runs_needed(similarity, first), least_agreement(similarity)
     schema = "a bigint, b bigint, key bigint"
     found: list[DataFrame] = []
     entering = signed
     for level in range(DEPTH):
         last = level == DEPTH - 1
-        entries = entering.mapInArrow(_paths(level, runs), "key bigint, doc bigint, s1 bigint, s2 bigint")
+        entries = entering.mapInArrow(_paths(level, runs, first), "key bigint, doc bigint, s1 bigint, s2 bigint, s3 bigint, s4 bigint")
         skipped = None
         if not last:
             hot = _hot_keys(entries)
@@ -262,7 +291,7 @@ def candidate_pairs(signed: DataFrame, similarity: float) -> DataFrame:
         over = met.where("b is null").select(F.col("a").alias("doc"), "key")
         if last or over.isEmpty():
             break
-        entering = over.join(signed, "doc").select("doc", "minima", "s1", "s2", "key")
+        entering = over.join(signed, "doc").select("doc", "minima", *SKETCH, "key")
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -301,10 +330,10 @@ def near_duplicates(rows: DataFrame, doc_id: str, text: str, similarity: float =
     ``doc_id`` is a bigint.
     """
     signed = keep(sign_texts(rows, doc_id, text), "signed")
-    classes = signed.groupBy("set1", "set2").agg(F.min("doc").alias("rep"), F.first("minima").alias("minima"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    classes = signed.groupBy("set1", "set2").agg(F.min("doc").alias("rep"), *[F.first(c).alias(c) for c in ("minima", *SKETCH)])
     classes = keep(classes, "classes")
     members = signed.select("doc", "set1", "set2").distinct().join(classes.select("set1", "set2", "rep"), ["set1", "set2"]).select("doc", "rep")
-    pairs = keep(candidate_pairs(classes.select(F.col("rep").alias("doc"), "minima", "s1", "s2"), similarity), "pairs")
+    pairs = keep(candidate_pairs(classes.select(F.col("rep").alias("doc"), "minima", *SKETCH), similarity), "pairs")
     texts = rows.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     return members, keep(verified(pairs, texts, similarity), "links")
 
