@@ -9,6 +9,7 @@ from quillspark.llm.boilerplate import page_boilerplate, web_pages
 from quillspark.llm.langid import detect, fit, wrong_labels
 from quillspark.llm.mix import mix_sources
 from quillspark.llm.neardup import groups, near_duplicates, similar_pairs
+from quillspark.llm.scans import find_noise, noise_rows, repair_text
 from quillspark.llm.tokenize import count_tokens, decode_ids, encode_texts
 from quillspark.session import table
 
@@ -68,6 +69,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return page_boilerplate(web_pages(table(spark, d, "extracted_payloads"), table(spark, d, "rendered_captures")))
 
 
-QUERIES = {"p5_found": p5_found, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return noise_rows(find_noise(table(spark, d, "extracted_payloads")))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired text of every scanned payload."""
+    payloads = table(spark, d, "extracted_payloads")
+    return repair_text(payloads, find_noise(payloads))
+
+
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p5_found": p5_found, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 
 ORACLE = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
