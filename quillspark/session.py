@@ -12,6 +12,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +67,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
     """Bound the bytes of an Arrow batch, so that very long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session; where they have it already nothing changes."""
+    context = spark.sparkContext
+    if getattr(context, "_quillspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quillspark-")) / "quillspark.zip"
+    atexit.register(shutil.rmtree, archive.parent, True)
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, Path("quillspark") / path.relative_to(root))
+    context.addPyFile(str(archive))
+    context._quillspark_shipped = True
