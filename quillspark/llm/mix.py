@@ -42,10 +42,10 @@ def water_fill(sizes: list[float], shares: list[float], repeats: list[float], to
     rest = total
     while free and rest > 0:
         weight = sum(shares[i] for i in free)
-        over = {i for i in free if rest * shares[i] / weight > sizes[i] * repeats[i]}
+        over = {i for i in free if rest * (shares[i] / weight) > sizes[i] * repeats[i]}
         if not over:
             for i in free:
-                given[i] = rest * shares[i] / weight
+                given[i] = rest * (shares[i] / weight)
             break
         for i in over:
             given[i] = sizes[i] * repeats[i]
