@@ -188,21 +188,56 @@ def pieces(spark: SparkSession, tokenizer: str = "byte_bpe_50k", folder: str = T
     return spark.createDataFrame(pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array(list(ranks), pa.binary())}).to_pandas(), "id int, piece binary")
 
 
-def decode_ids(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, span: int = 4096) -> DataFrame:
-    """Text of each list of ids, through a join with the table of pieces.
+def _pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pack lists of ids into blocks of distinct ids and codes."""
+    task, number = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        lists = batch.column("ids").fill_null([])
+        sizes = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < len(sizes):
+            base = ends[start] - sizes[start]
+            stop = max(start + 1, int(np.searchsorted(ends, base + BLOCK_POSITIONS, "right")))
+            ids, codes = np.unique(flat[base : ends[stop - 1]], return_inverse=True)
+            docs = batch.column("doc").slice(start, stop - start)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(task << 32) | number]), pa.ListArray.from_arrays([0, len(docs)], docs), pa.array([sizes[start:stop].astype(np.int32).tobytes()]), pa.array([codes.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32).tobytes()]), pa.ListArray.from_arrays([0, len(ids)], pa.array(ids.astype(np.int32)))],
+                names=["block", "docs", "lengths", "codes", "ids"],
+            )
+            number += 1
+            start = stop
 
-    Lists are cut into spans, so that a very long one isn't gathered id by id
-    in one group; the vocabulary (fixed at about 50,000 pieces) is broadcast.
-    Spans are joined in order as bytes, for a character may lie in two of them.
-    Rows need not have different ids: each row decodes by itself.
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Join the pieces of a block by position; bytes become text at the end, for a character may lie in two pieces."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            lengths = np.frombuffer(batch.column("lengths")[k].as_py(), np.int32)
+            n = batch.column("n_ids")[k].as_py()
+            pairs = batch.column("spelt").slice(k, 1).flatten()
+            known = [b""] * n  # an id without a piece spells nothing
+            for pos, piece in zip(pairs.field("pos").to_pylist(), pairs.field("piece").to_pylist()):
+                known[pos] = piece
+            codes = np.frombuffer(batch.column("codes")[k].as_py(), np.uint16 if n < 1 << 16 else np.uint32).tolist()
+            texts, at = [], 0
+            for size in lengths.tolist():
+                texts.append(b"".join(map(known.__getitem__, codes[at : at + size])).decode("utf-8", "replace"))
+                at += size
+            yield pa.RecordBatch.from_arrays([batch.column("docs").slice(k, 1).flatten(), pa.array(texts, pa.string())], names=["doc", "text"])
+
+
+def decode_ids(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """Text of each list of ids, through a join of each block's distinct ids with the table of pieces.
+
+    The vocabulary (fixed at about 50,000 pieces) is broadcast. Null lists
+    spell the empty text; rows need not have different ids.
     """
-    rows = encoded.select(F.col(doc_id).alias("doc"), F.col(ids).alias("ids")).withColumn("row", F.monotonically_increasing_id())
-    rows = keep(rows, "decode")
-    spans = rows.select("row", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("ids") - 1), F.lit(span)), lambda i: F.slice("ids", i + 1, F.lit(span)))).alias("span", "part"))
-    ones = spans.select("row", "span", F.posexplode("part").alias("pos", "id"))
-    joined = ones.join(F.broadcast(pieces(encoded.sparkSession, tokenizer, folder)), "id")
-    hexed = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))), lambda x: x["h"])
-    parts = joined.groupBy("row", "span").agg(F.array_join(hexed, "").alias("h"))
-    whole = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("span", "h"))).alias("parts"))
-    text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x["h"]), "")), "UTF-8")
-    return rows.join(whole, "row", "left").select(F.col("doc").alias(doc_id), F.coalesce(text, F.lit("")).alias("text"))
+    kind = dict(encoded.dtypes)[doc_id]
+    rows = encoded.select(F.col(doc_id).alias("doc"), F.col(ids).alias("ids"))
+    blocks = keep(rows.mapInArrow(_pack_ids, f"block bigint, docs array<{kind}>, lengths binary, codes binary, ids array<int>"), "ids")
+    own = blocks.select("block", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces(encoded.sparkSession, tokenizer, folder)), "id")
+    spelt = own.groupBy("block").agg(F.collect_list(F.struct("pos", "piece")).alias("spelt"))
+    joined = blocks.withColumn("n_ids", F.size("ids")).drop("ids").join(spelt, "block", "left").withColumn("spelt", F.coalesce("spelt", F.array().cast("array<struct<pos:int,piece:binary>>")))
+    return joined.select("docs", "lengths", "codes", "n_ids", "spelt").mapInArrow(_spell, f"doc {kind}, text string").withColumnRenamed("doc", doc_id)
