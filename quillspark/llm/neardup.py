@@ -280,7 +280,7 @@ def candidate_pairs(signed: DataFrame, similarity: float) -> DataFrame:
         entries = entering.mapInArrow(_paths(level, runs, first), "key bigint, doc bigint, s1 bigint, s2 bigint, s3 bigint, s4 bigint")
         skipped = None
         if not last:
-            hot = _hot_keys(entries)
+            hot = _hot_keys(entering, level, runs, first)
             if hot:
                 keys = spark.createDataFrame([(k,) for k in hot], "key bigint")  # at most HOT_SHARE rows
                 skipped = entries.join(F.broadcast(keys), "key", "left_semi").select(F.col("doc").alias("a"), F.lit(None).cast("bigint").alias("b"), "key")
@@ -295,10 +295,11 @@ def candidate_pairs(signed: DataFrame, similarity: float) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _hot_keys(entries: DataFrame) -> list[int]:
+def _hot_keys(entering: DataFrame, level: int, runs: int, first: int) -> list[int]:
     """Keys that hold more than one in HOT_SHARE rows, by the rows of one in 16 sets; only their way is decided by it."""
-    sample = entries.where(F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(16)) == 0)
-    counts = sample.groupBy("key").count().where(F.col("count") > LIMIT)
+    sample = entering.where(F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(16)) == 0)
+    entries = sample.mapInArrow(_paths(level, runs, first), f"key bigint, doc bigint, {', '.join(f'{c} bigint' for c in SKETCH)}")
+    counts = entries.groupBy("key").count().where(F.col("count") > LIMIT)
     top = counts.orderBy(F.desc("count")).limit(HOT_SHARE).collect()
     return [r.key for r in top]
 
@@ -347,23 +348,30 @@ def similar_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return both.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"))
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number of edges and the sum of their hashes: equal as long as nothing changes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+
 def connected(links: DataFrame) -> DataFrame:
     """Node and least node of its component, by alternating large and small stars.
 
     Each round only reads and writes pairs; a node with many neighbours is
     spread by a minimum aggregated before the shuffle.
     """
-    edges = keep(links.select("a", "b").where("a <> b"), "edges")
+    edges = keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    before = _state(edges)
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.toDF("u", "v"))
-        new = keep(small.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "edges")
-        if new.exceptAll(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).isEmpty() and edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().exceptAll(new).isEmpty():
-            return new.select(F.col("b").alias("node"), F.col("a").alias("least")).union(new.select("a", "a").distinct())
-        edges = new
+        edges = keep(small.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "edges")
+        now = _state(edges)
+        if now == before:
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("least")).union(edges.select("a", "a").distinct())
+        before = now
 
 
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
