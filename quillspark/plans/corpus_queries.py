@@ -219,6 +219,37 @@ def ocr_accepted(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("payload_id", extraction.ocr_accepted(F.col("markdown")).alias("accepted")).distinct()
 
 
+def path_parts(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("path")
+    rows = table(spark, d, "inventory").select("path", strings.file_name(c).alias("name"), strings.suffix(c).alias("suffix"), strings.parent(c).alias("parent"), strings.safe_filename(strings.file_name(c)).alias("safe"), strings.is_relative_posix(c).alias("relative"))
+    return rows.distinct()
+
+
+def strict_instants(spark: SparkSession, d: str) -> DataFrame:
+    at = F.unix_micros(strings.strict_utc(F.col("created_at")))
+    return table(spark, d, "source_records").select("source_id", "created_at", at.alias("created_us")).distinct()
+
+
+def page_relations(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.relations(_wiki(spark, d), "doc_id", "text")
+
+
+def label_spans(spark: SparkSession, d: str) -> DataFrame:
+    return graph.label_spans(markdown.numbered_lines(_wiki(spark, d), "doc_id", "text"))
+
+
+def retained_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Held contents per source, and the bytes they take."""
+    v = table(spark, d, "content_versions").select(norm_key("source_id").alias("source_id"), norm_key("sha256").alias("sha256"), "byte_size").groupBy("source_id", "sha256").agg(F.max("byte_size").alias("byte_size"))
+    return v.groupBy("source_id").agg(F.count("*").alias("n_versions"), F.sum("byte_size").alias("total_bytes"))
+
+
+def hashed_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Live paths that hold the same bytes."""
+    i = table(spark, d, "inventory").where("sha256 is not null").select("path", norm_key("sha256").alias("sha256")).distinct()
+    return graph.repeated(i, ["sha256"])
+
+
 def anchor_problems(spark: SparkSession, d: str) -> DataFrame:
     return extraction.anchor_problems(table(spark, d, "extracted_payloads").where("markdown is not null"), "payload_id", "markdown", "anchors").distinct()
 
@@ -293,7 +324,7 @@ QUERIES = {
         literal_line_search, search_candidates, search_with_context, search_first_term, search_matched_terms, first_hit_per_doc, search_pages, search_run_proof, freshness_probe, link_candidates, content_ids, corpus_revision,
         corpus_revision_tree, exact_duplicates, reconcile_decisions, reconcile_actions, state_counts, coverage_gaps, adoption_chain_breaks, page_headings, section_extents, skipped_levels, page_frontmatter, citation_markers,
         undefined_markers, page_links, link_targets_missing, reciprocity_violations, ambiguous_names, first_mentions, wiki_index, extractor_choice, canonical_urls, md_table, json_blocks, line_anchors, ocr_accepted,
-        anchor_problems, citation_integrity, conflicting_evidence, evidence_packet, reference_problems, event_sequence_check, event_kind_counts, event_digest, bounded_sample, postimage_diff, dropped_markers, quality_report, status_rollup,
+        path_parts, strict_instants, page_relations, label_spans, retained_versions, hashed_twice, anchor_problems, citation_integrity, conflicting_evidence, evidence_packet, reference_problems, event_sequence_check, event_kind_counts, event_digest, bounded_sample, postimage_diff, dropped_markers, quality_report, status_rollup,
     )
 }
 

@@ -115,6 +115,20 @@ anc AS (SELECT DISTINCT d, a.kind AS k, a.value AS v FROM (SELECT d, unnest(anch
 SELECT * FROM (SELECT citation_key, CASE WHEN c.s IS NULL OR c.h IS NULL OR c.d IS NULL THEN 'citation_definition_invalid' WHEN src.s IS NULL THEN 'citation_source_missing' WHEN ver.s IS NULL THEN 'citation_version_missing'
   WHEN own.d IS NULL THEN 'citation_derivation_missing' WHEN anc.d IS NULL THEN 'citation_anchor_missing' END AS code FROM c LEFT JOIN src ON src.s = c.s LEFT JOIN ver ON ver.s = c.s AND ver.h = c.h
   LEFT JOIN own ON own.d = c.d AND own.s = c.s AND own.h = c.h LEFT JOIN anc ON anc.d = c.d AND anc.k = c.k AND anc.v = c.v) WHERE code IS NOT NULL""",
+    "line_anchors": """WITH l AS (SELECT doc_id AS doc, regexp_split_to_array(regexp_replace(text, '(\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}])$', ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]') AS lines FROM documents WHERE text <> '')
+SELECT doc, len(lines)::BIGINT AS n_lines, list_max(list_transform(lines, lambda x: length(x)))::BIGINT AS longest FROM l""",
+    "anchor_problems": """WITH p AS (SELECT payload_id AS key, list_transform(regexp_extract_all(markdown, '<a id="([a-z]+:[^"]*)"></a>', 1), lambda x: x) AS found, list_transform(coalesce(anchors, []), lambda a: a.kind || ':' || a.value) AS declared FROM extracted_payloads WHERE markdown IS NOT NULL)
+SELECT DISTINCT * FROM (SELECT key, CASE WHEN len(list_distinct(declared)) < len(declared) THEN 'declared_twice' WHEN len(list_distinct(found)) < len(found) THEN 'marked_twice'
+  WHEN len(list_filter(declared, lambda x: NOT list_contains(found, x))) > 0 THEN 'not_marked' WHEN len(list_filter(found, lambda x: NOT list_contains(declared, x))) > 0 THEN 'not_declared' END AS problem FROM p) WHERE problem IS NOT NULL""",
+    "path_parts": """SELECT DISTINCT path, regexp_extract(path, '([^/]*)$', 1) AS name, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '[^.](\\.[^.]+)$', 1)) AS suffix, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent,
+  trim(regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[^A-Za-z0-9._-]+', '-', 'g'), '-{2,}', '-', 'g'), '-.') AS safe,
+  NOT (regexp_matches(path, '(^|/)(\\.|\\.\\.)?(/|$)') OR contains(path, chr(92)) OR regexp_matches(path, '[[:cntrl:]]')) AS relative FROM inventory""",
+    "strict_instants": """SELECT DISTINCT source_id, created_at, CASE WHEN regexp_matches(created_at, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d{6})?Z$') THEN epoch_us(try_cast(created_at AS TIMESTAMPTZ)) END AS created_us FROM source_records""",
+    "page_relations": f"""WITH {WIKI} SELECT doc, line_no, regexp_extract(line, '^- \\[([^\\]]+)\\]', 1) AS label, regexp_extract(line, '\\]\\(([^()\\s]+)\\): ', 1) AS destination, regexp_extract(line, '\\): (.+)$', 1) AS note FROM lines WHERE regexp_matches(line, '^- \\[[^\\]]+\\]\\([^()\\s]+\\): .+$')""",
+    "label_spans": f"""WITH {WIKI}, found AS (SELECT doc, line_no, line, unnest(regexp_extract_all(line, '(\\[[^\\]\\[]*\\]\\([^()\\s]+\\))', 1)) AS link FROM lines WHERE contains(line, ']('))
+SELECT DISTINCT doc, line_no, strpos(line, link) + 1 AS from_column, strpos(line, link) + strpos(link, '](') - 2 AS to_column FROM found""",
+    "retained_versions": f"""SELECT source_id, count(*) AS n_versions, sum(byte_size)::BIGINT AS total_bytes FROM (SELECT {_key('source_id')} AS source_id, {_key('sha256')} AS sha256, max(byte_size) AS byte_size FROM content_versions GROUP BY 1, 2) GROUP BY 1""",
+    "hashed_twice": f"""SELECT sha256, path, n FROM (SELECT *, count(*) OVER (PARTITION BY sha256) AS n FROM (SELECT DISTINCT path, {_key('sha256')} AS sha256 FROM inventory WHERE sha256 IS NOT NULL)) WHERE n > 1""",
     "conflicting_evidence": f"""SELECT document, count(*) AS n_identities FROM (SELECT DISTINCT document, {_key('source_id')} AS a, {_key('content_sha256')} AS b, {_key('derivation_id')} AS c, anchor_kind, anchor_value FROM citations WHERE document IS NOT NULL) GROUP BY 1 HAVING count(*) >= 2""",
     "evidence_packet": f"WITH {LINES} SELECT true AS valid, 'r1' AS revision, count(DISTINCT (doc, line_no)) AS n_evidence FROM lines WHERE {_ANY.format(c='line')}",
     "reference_problems": """WITH c AS (SELECT DISTINCT document, citation_id, anchor_kind FROM citations WHERE citation_id IS NOT NULL), s AS (SELECT DISTINCT document, citation_id FROM c WHERE anchor_kind = 'page'), o AS (SELECT DISTINCT document, citation_id FROM c WHERE anchor_kind = 'line'), k AS (SELECT DISTINCT document, citation_id FROM c WHERE anchor_kind <> 'page')

@@ -9,7 +9,7 @@ from quillspark.functions.markdown import frontmatter
 from quillspark.functions.strings import suffix
 from quillspark.operators.extraction import sniff_media_type
 
-# fixed values: names that are never sources
+# fixed values: names that are never sources; tools' temporary and lock files are known by their form
 IGNORED_NAMES = (".gitkeep", ".keep", ".DS_Store")
 IGNORED_ROOTS = ("_versions", "_web")
 MAX_DESCRIPTOR_BYTES = 64 << 10
@@ -17,7 +17,7 @@ MAX_DESCRIPTOR_BYTES = 64 << 10
 
 def is_ignored(path: Column) -> Column:
     name = F.element_at(F.split(path, "/"), -1)
-    return name.isin(*IGNORED_NAMES) | F.element_at(F.split(path, "/"), 1).isin(*IGNORED_ROOTS) | name.startswith(".brain-tmp-") | name.endswith(".brain.lock")
+    return name.isin(*IGNORED_NAMES) | F.element_at(F.split(path, "/"), 1).isin(*IGNORED_ROOTS) | name.rlike(r"^\.[a-z]+-tmp-|\.[a-z]+\.lock$")
 
 
 def relative_path(path: Column, root: str) -> Column:
