@@ -23,54 +23,47 @@ def changed_metadata(a: str, b: str) -> Column:
     return ~(F.col(f"{a}.byte_size").eqNullSafe(F.col(f"{b}.byte_size")) & F.col(f"{a}.mtime_ns").eqNullSafe(F.col(f"{b}.mtime_ns")))
 
 
-def rename_groups(new: DataFrame, gone: DataFrame) -> DataFrame:
-    """key, n_new, n_gone of keys that new files and missing records share."""
-    a = new.where("key is not null").groupBy("key").agg(F.count("*").alias("n_new"))
-    b = gone.where("key is not null").groupBy("key").agg(F.count("*").alias("n_gone"))
-    return a.join(b, "key")
+def rename_groups(unmatched: DataFrame) -> DataFrame:
+    """key, n_new, n_gone and the only missing record, of keys that new files and missing records share.
+
+    :param unmatched: key, is_new, source_id.
+    """
+    rows = unmatched.where("key is not null")
+    groups = rows.groupBy("key").agg(F.count_if("is_new").alias("n_new"), F.count_if(~F.col("is_new")).alias("n_gone"), F.min(F.when(~F.col("is_new"), F.col("source_id"))).alias("only"))
+    return groups.where("n_new > 0 and n_gone > 0")
 
 
 def reconcile(live: DataFrame, ledger: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """path, source_id, action.
 
+    The two sides meet once by path; what is left over is counted by key and
+    joined with its counts, so that no pairs of equal keys are ever formed.
+
     :param live: path, byte_size, mtime_ns, sha256, url; one row a path.
     :param ledger: source_id, path, byte_size, mtime_ns, sha256, url.
     :param skipped: path of what couldn't be read; records at or under it are obscured.
     """
-    live = live.dropDuplicates(["path"])
-    both = live.alias("l").join(ledger.alias("r"), F.col("l.path") == F.col("r.path"), "full_outer")
+    both = live.dropDuplicates(["path"]).alias("l").join(ledger.alias("r"), F.col("l.path") == F.col("r.path"), "full_outer")
     same = F.col("l.sha256").eqNullSafe(F.col("r.sha256")) & F.col("l.url").eqNullSafe(F.col("r.url"))
-    matched = both.where("l.path is not null and r.path is not null").select(
-        F.col("l.path").alias("path"), F.col("r.source_id").alias("source_id"),
-        F.when(~changed_metadata("l", "r") & F.col("l.sha256").isNull() & F.col("l.url").eqNullSafe(F.col("r.url")), "retain").when(same, "retain").when(F.col("l.url").isNotNull(), "process").otherwise("integrity_error").alias("action"),
-    )
-    new = both.where("r.path is null").select(F.col("l.path").alias("path"), content_key(F.col("l.url"), F.col("l.sha256")).alias("key"))
-    gone = both.where("l.path is null").select(F.col("r.path").alias("path"), F.col("r.source_id").alias("source_id"), content_key(F.col("r.url"), F.col("r.sha256")).alias("key"))
+    untouched = ~changed_metadata("l", "r") & F.col("l.sha256").isNull() & F.col("l.url").eqNullSafe(F.col("r.url"))
+    action = F.when(untouched | same, "retain").when(F.col("l.url").isNotNull(), "process").otherwise("integrity_error")
+    matched = both.where("l.path is not null and r.path is not null").select(F.col("l.path").alias("path"), F.col("r.source_id").alias("source_id"), action.alias("action"))
+    is_new = F.col("r.path").isNull()
+    key = F.when(is_new, content_key(F.col("l.url"), F.col("l.sha256"))).otherwise(content_key(F.col("r.url"), F.col("r.sha256")))
+    rest = both.where("l.path is null or r.path is null").select(F.coalesce("l.path", "r.path").alias("path"), F.col("r.source_id").alias("source_id"), is_new.alias("is_new"), key.alias("key"))
+    hidden = None
     if skipped is not None:
         # every folder above a path is a key, so that it is an equal join
-        at = gone.withColumn("above", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/"))))
+        parts = F.split("path", "/")
+        at = rest.where("not is_new").withColumn("above", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
         hidden = at.join(skipped.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select("path", "source_id").distinct()
-        gone = gone.join(hidden, ["path", "source_id"], "left_anti")
-    groups = rename_groups(new, gone)
-    judged_new = new.join(groups, "key", "left")
-    judged_gone = gone.join(groups, "key", "left")
+        rest = rest.join(hidden.select("path", "source_id", F.lit(True).alias("hidden")), ["path", "source_id"], "left").where("hidden is null").drop("hidden")
     one = (F.col("n_new") == 1) & (F.col("n_gone") == 1)
-    renamed = judged_new.where(one).select("path", "key").join(judged_gone.where(one).select("key", "source_id"), "key").select("path", "source_id", F.lit("rename").alias("action"))
-    nobody = F.lit(None).cast("string").alias("source_id")
-    parts = [
-        matched,
-        renamed,
-        judged_new.where("n_gone is null").select("path", nobody, F.lit("create").alias("action")),
-        judged_new.where(~one).select("path", nobody, F.lit("ambiguous").alias("action")),
-        judged_gone.where("n_new is null").select("path", "source_id", F.lit("missing").alias("action")),
-        judged_gone.where(~one).select("path", "source_id", F.lit("ambiguous").alias("action")),
-    ]
-    if skipped is not None:
-        parts.append(hidden.select("path", "source_id", F.lit("obscured").alias("action")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    alone = F.when(F.col("is_new"), "create").otherwise("missing")
+    judged = rest.where("key is not null").join(rename_groups(rest), "key", "left").where(~F.coalesce(one & ~F.col("is_new"), F.lit(False)))
+    judged = judged.select("path", F.when(F.coalesce(one, F.lit(False)), F.col("only")).otherwise(F.col("source_id")).alias("source_id"), F.when(F.col("n_new").isNull(), alone).when(one, "rename").otherwise("ambiguous").alias("action"))
+    out = matched.unionByName(judged).unionByName(rest.where("key is null").select("path", "source_id", alone.alias("action")))
+    return out if hidden is None else out.unionByName(hidden.withColumn("action", F.lit("obscured")))
 
 
 def zero_filled(counted: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
