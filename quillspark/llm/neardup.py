@@ -96,7 +96,7 @@ def word_sets(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(rolled[a : max(a, b - WORDS + 1)]) for a, b in zip(ends - sizes, ends)]
 
 
-def minima(tokens: np.ndarray, work: dict) -> np.ndarray:
+def minima(tokens: np.ndarray) -> np.ndarray:
     """The set's least hash under each seed."""
     low = (tokens >> np.uint64(16)).astype(np.uint32)
     best = np.full(WIDTH, 0xFFFFFFFF, np.uint32)
@@ -145,7 +145,7 @@ def sign_texts(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
             use = [i for i, s in enumerate(sets) if len(s)]
             if not use:
                 continue
-            best = np.stack([minima(sets[i], {}) for i in use])
+            best = np.stack([minima(sets[i]) for i in use])
             drawn = sketch(best).view(np.int64)
             names = [xxhash.xxh3_128_intdigest(sets[i].tobytes()) for i in use]
             halves = np.array([[n >> 64, n & 0xFFFFFFFFFFFFFFFF] for n in names], np.uint64).view(np.int64)

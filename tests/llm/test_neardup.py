@@ -79,7 +79,7 @@ def test_sets_and_sketches():
     assert [len(s) for s in sets] == [2, 0, 0, 1, 1] and sets[3][0] == sets[4][0] and sets[3][0] in sets[0]
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 60, 1000, dtype=np.uint64)
-    s = N.sketch(np.stack([N.minima(x[:600], {}), N.minima(x[200:800], {}), N.minima(x[:600], {})]))
+    s = N.sketch(np.stack([N.minima(x[:600]), N.minima(x[200:800]), N.minima(x[:600])]))
     rows = [s[:, c] for c in range(4)]
     agree = N.agreeing([c[[0, 0]] for c in rows], [c[[1, 2]] for c in rows])
     assert agree[1] == 64 and abs(agree[0] / 64 - (0.5 + 0.5 / 16)) < 0.2
