@@ -49,10 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it from there: cuts the lineage for good."""
+    """Write ``df`` once into the shared folder and read it from there: cuts the lineage for good.
+
+    The table is deleted when the session's JVM ends.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "quillspark", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)
 
 
