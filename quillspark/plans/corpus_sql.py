@@ -120,6 +120,13 @@ SELECT doc, len(lines)::BIGINT AS n_lines, list_max(list_transform(lines, lambda
     "anchor_problems": """WITH p AS (SELECT payload_id AS key, list_transform(regexp_extract_all(markdown, '<a id="([a-z]+:[^"]*)"></a>', 1), lambda x: x) AS found, list_transform(coalesce(anchors, []), lambda a: a.kind || ':' || a.value) AS declared FROM extracted_payloads WHERE markdown IS NOT NULL)
 SELECT DISTINCT * FROM (SELECT key, CASE WHEN len(list_distinct(declared)) < len(declared) THEN 'declared_twice' WHEN len(list_distinct(found)) < len(found) THEN 'marked_twice'
   WHEN len(list_filter(declared, lambda x: NOT list_contains(found, x))) > 0 THEN 'not_marked' WHEN len(list_filter(found, lambda x: NOT list_contains(declared, x))) > 0 THEN 'not_declared' END AS problem FROM p) WHERE problem IS NOT NULL""",
+    "bounded_sample": """WITH RECURSIVE top AS (SELECT doc_id, n_chars, i FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE n_chars IS NOT NULL) WHERE i <= 100),
+walk AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, NULL::BIGINT AS doc_id, NULL::BIGINT AS n_chars, false AS kept
+  UNION ALL SELECT t.i, CASE WHEN w.used + t.n_chars <= 32768 THEN w.used + t.n_chars ELSE w.used END, t.doc_id, t.n_chars, w.used + t.n_chars <= 32768 FROM walk w JOIN top t ON t.i = w.i + 1)
+SELECT doc_id, n_chars, (SELECT count(*) FROM documents WHERE n_chars IS NOT NULL) AS total FROM walk WHERE kept""",
+    "first_mentions": f"""WITH {WIKI}, named AS (SELECT doc, line_no, line, name FROM lines, (VALUES ('lighthouse journal'), ('journal'), ('parish roll')) v(name)),
+placed AS (SELECT doc, line_no, name, length(regexp_extract(line, '^(.*?(?:^|[^\\pL\\pN_]))' || name || '($|[^\\pL\\pN_])', 1)) + 1 AS place FROM named WHERE regexp_matches(line, '(^|[^\\pL\\pN_])' || name || '($|[^\\pL\\pN_])'))
+SELECT doc, line_no, place AS "column", name FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no, place, -length(name)) AS i FROM placed) WHERE i = 1""",
     "path_parts": """SELECT DISTINCT path, regexp_extract(path, '([^/]*)$', 1) AS name, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '[^.](\\.[^.]+)$', 1)) AS suffix, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent,
   trim(regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[^A-Za-z0-9._-]+', '-', 'g'), '-{2,}', '-', 'g'), '-.') AS safe,
   NOT (regexp_matches(path, '(^|/)(\\.|\\.\\.)?(/|$)') OR contains(path, chr(92)) OR regexp_matches(path, '[[:cntrl:]]')) AS relative FROM inventory""",
