@@ -67,7 +67,7 @@ def links(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 def relations(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """doc, line_no, label, destination, note of bullets of the form - [label](destination): note."""
-    pattern = r"^- \[([^\]]+)\]\(([^()\s]+)\): (.+)$"
+    pattern = r"(?d)^- \[([^\]]+)\]\(([^()\s]+)\): (.+)$"  # (?d): only LF ends lines
     lines = numbered_lines(docs, doc, text).where(F.col("line").startswith("- [")).where(F.col("line").rlike(pattern))
     return lines.select("doc", "line_no", *[F.regexp_extract("line", pattern, k).alias(n) for k, n in ((1, "label"), (2, "destination"), (3, "note"))])
 

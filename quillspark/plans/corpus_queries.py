@@ -162,11 +162,15 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d).select("doc", "line_no", "label", "destination")
 
 
-def _page_names(spark: SparkSession, d: str) -> DataFrame:
-    """Pages by the name that links would give them: the slug of the first alias."""
+def _named_pages(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and the name that links would give the page: the slug of the first alias."""
     front = markdown.frontmatter(F.col("text"))
     alias = F.lower(F.try_element_at(markdown.inline_list(F.try_element_at(front, F.lit("aliases"))), F.lit(1)))
-    return _wiki(spark, d).select(F.concat(F.lit("wiki/pages/"), alias, F.lit(".md")).alias("doc")).where("doc is not null").distinct()
+    return _wiki(spark, d).select("doc_id", F.concat(F.lit("wiki/pages/"), alias, F.lit(".md")).alias("doc")).where("doc is not null")
+
+
+def _page_names(spark: SparkSession, d: str) -> DataFrame:
+    return _named_pages(spark, d).select("doc").distinct()
 
 
 def link_targets_missing(spark: SparkSession, d: str) -> DataFrame:
@@ -179,6 +183,13 @@ def reciprocity_violations(spark: SparkSession, d: str) -> DataFrame:
     return graph.one_way(edges)
 
 
+def page_reciprocity(spark: SparkSession, d: str) -> DataFrame:
+    """Relations that a page declares to another and that aren't returned, over all pages."""
+    pages = _named_pages(spark, d).select(F.col("doc_id").alias("doc"), F.col("doc").alias("a"))
+    edges = graph.resolved(page_relations(spark, d).select("doc", "destination").join(pages, "doc"), F.col("a")).select("a", F.col("target").alias("b"))
+    return graph.one_way(edges.where("a <> b"))
+
+
 def ambiguous_names(spark: SparkSession, d: str) -> DataFrame:
     return graph.ambiguous_names(page_headings(spark, d).where("level = 1").select("doc", F.col("title").alias("name")))
 
@@ -323,7 +334,7 @@ QUERIES = {
     for f in (
         literal_line_search, search_candidates, search_with_context, search_first_term, search_matched_terms, first_hit_per_doc, search_pages, search_run_proof, freshness_probe, link_candidates, content_ids, corpus_revision,
         corpus_revision_tree, exact_duplicates, reconcile_decisions, reconcile_actions, state_counts, coverage_gaps, adoption_chain_breaks, page_headings, section_extents, skipped_levels, page_frontmatter, citation_markers,
-        undefined_markers, page_links, link_targets_missing, reciprocity_violations, ambiguous_names, first_mentions, wiki_index, extractor_choice, canonical_urls, md_table, json_blocks, line_anchors, ocr_accepted,
+        undefined_markers, page_links, link_targets_missing, reciprocity_violations, page_reciprocity, ambiguous_names, first_mentions, wiki_index, extractor_choice, canonical_urls, md_table, json_blocks, line_anchors, ocr_accepted,
         path_parts, strict_instants, page_relations, label_spans, retained_versions, hashed_twice, anchor_problems, citation_integrity, conflicting_evidence, evidence_packet, reference_problems, event_sequence_check, event_kind_counts, event_digest, bounded_sample, postimage_diff, dropped_markers, quality_report, status_rollup,
     )
 }

@@ -97,6 +97,10 @@ SELECT doc_id, regexp_extract(f, '\\nid: ?([^\\n]*)', 1) AS id, regexp_extract(f
 placed AS (SELECT *, 'wiki/' || regexp_replace(regexp_replace(destination, '#.*$', ''), '^\\.\\./', '') AS target FROM links)
 SELECT doc, line_no, destination, CASE WHEN target = doc THEN 'link_self' WHEN target NOT IN (SELECT doc FROM named) THEN 'link_target_missing' ELSE 'link_fragment_invalid' END AS code FROM placed WHERE target = doc OR target NOT IN (SELECT doc FROM named) OR contains(destination, '#')""",
     "reciprocity_violations": f"""WITH edges AS (SELECT DISTINCT {_key('source_id')}[5:5] AS a, {_key('derivation_id')}[5:5] AS b FROM citations WHERE source_id IS NOT NULL AND derivation_id IS NOT NULL AND citation_key % 7 = 0)
+SELECT a, b FROM edges e WHERE a <> b AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.a = e.b AND r.b = e.a)""",
+    "page_reciprocity": f"""WITH {WIKI}, named AS (SELECT doc_id AS doc, 'wiki/pages/' || lower(regexp_extract(text, '(?s)^---\\n.*?aliases: ?\\[([^,\\]\\n]+)', 1)) || '.md' AS a FROM wiki WHERE regexp_matches(text, '(?s)^---\\n.*?aliases: ?\\[[^,\\]\\n]+')),
+declared AS (SELECT doc, regexp_extract(line, '\\]\\(([^()\\s]+)\\): ', 1) AS destination FROM lines WHERE regexp_matches(line, '^- \\[[^\\]]+\\]\\([^()\\s]+\\): .+$')),
+edges AS (SELECT DISTINCT a, 'wiki/' || regexp_replace(regexp_replace(destination, '#.*$', ''), '^\\.\\./', '') AS b FROM declared JOIN named USING (doc))
 SELECT a, b FROM edges e WHERE a <> b AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.a = e.b AND r.b = e.a)""",
     "ambiguous_names": f"WITH {HEADS} SELECT lower(title) AS name, count(DISTINCT doc) AS n_docs FROM heads WHERE level = 1 GROUP BY 1 HAVING count(DISTINCT doc) > 1",
     "wiki_index": f"""WITH {HEADS}, titles AS (SELECT doc::VARCHAR || '.md' AS path, arg_min(title, line_no) AS title FROM heads WHERE level = 1 GROUP BY doc)

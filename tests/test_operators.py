@@ -162,3 +162,16 @@ def test_files_and_stream(spark, tmp_path):
     (tmp_path / "shards" / "src_1.json").write_text('{"source_id":"src_1","state":"ok","versions":{"h":{"sha256":"h","raw_path":"p","byte_size":1}},"active_content_sha256":"h","active_derivation_id":"d"}')
     records = ledger.read_records(spark, str(tmp_path / "shards"))
     assert ledger.versions(records).first().raw_path == "p" and ledger.unheld_pointers(records).first().code == "active_derivation_missing"
+
+
+def test_page_reciprocity_takes_every_relation(spark, tmp_path):
+    from quillspark.plans.corpus_queries import QUERIES
+
+    page = lambda name, *to: f"---\naliases: [{name}]\n---\n\n# {name}\n\n" + "\n".join(f"- [{t}](../pages/{t.lower()}.md): note\u2028" for t in to)
+    pages = {f"P{k}": [f"P{(k + 1) % 40}", *([f"P{(k - 1) % 40}"] if k % 2 else [])] for k in range(40)}
+    spark.createDataFrame([(k, page(n, *to)) for k, (n, to) in enumerate(pages.items())], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    edges = {(a, b) for a, to in pages.items() for b in to}
+    path = lambda n: f"wiki/pages/{n.lower()}.md"
+    got = [tuple(r) for r in QUERIES["page_reciprocity"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((path(a), path(b)) for a, b in edges if (b, a) not in edges)
+    assert 0 < len(got) < len(edges)
