@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.boilerplate import page_boilerplate, web_pages
+from quillspark.llm.boilerplate import page_articles, page_boilerplate, web_pages
 from quillspark.llm.langid import detect, fit, wrong_labels
 from quillspark.llm.mix import mix_sources
 from quillspark.llm.neardup import groups, near_duplicates, similar_pairs
@@ -69,6 +69,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return page_boilerplate(web_pages(table(spark, d, "extracted_payloads"), table(spark, d, "rendered_captures")))
 
 
+def p5_article(spark: SparkSession, d: str) -> DataFrame:
+    """The article of every web page."""
+    return page_articles(web_pages(table(spark, d, "extracted_payloads"), table(spark, d, "rendered_captures")))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return noise_rows(find_noise(table(spark, d, "extracted_payloads")))
 
@@ -79,6 +84,6 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return repair_text(payloads, find_noise(payloads))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p5_found": p5_found, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p5_found": p5_found, "p5_article": p5_article, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 
 ORACLE = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
