@@ -16,10 +16,11 @@ def norm_key(c: Column | str) -> Column:
 def instant_us(c: Column | str) -> Column:
     """Microseconds since 1970 UTC of a timestamp or of any ISO spelling of one; null where it is none.
 
-    A spelling without a zone is UTC, as the session's time zone is.
+    A spelling without a zone is UTC, whatever the session's time zone is.
     """
-    c = F.col(c) if isinstance(c, str) else c
-    return F.unix_micros(F.btrim(c.cast("string"), F.lit(BLANKS)).try_cast("timestamp"))
+    text = F.btrim((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(BLANKS))
+    zoned = F.when(text.rlike(r"^[+-]?\d{4,6}-\d{1,2}-\d{1,2}([ T][\d:.]+)?$"), F.concat(text, F.when(text.rlike("[ T]"), "Z").otherwise("T00:00:00Z"))).otherwise(text)
+    return F.unix_micros(zoned.try_cast("timestamp"))
 
 
 def micros(c: Column | str) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import posixpath
-from urllib.parse import quote, unquote_to_bytes
+import re
+from urllib.parse import quote, unquote_to_bytes, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,7 +24,7 @@ def html_escape(c: Column) -> Column:
 def cell_escape(c: Column) -> Column:
     """Text fit for a cell of a Markdown table."""
     c = F.replace(html_escape(c), F.lit("\\"), F.lit("\\\\"))
-    return F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
+    return F.regexp_replace(F.replace(c, F.lit("|"), F.lit("\\|")), "\r\n|\n|\r", "<br>")
 
 
 def title_escape(c: Column) -> Column:
@@ -30,8 +32,34 @@ def title_escape(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\\[\]])", r"\\$1")
 
 
-def safe_filename(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "-"), "-{2,}", "-"), F.lit("-."))
+# fixed values: suffixes by media type
+MIME_SUFFIX = {
+    "text/html": ".html",
+    "application/xhtml+xml": ".xhtml",
+    "text/plain": ".txt",
+    "text/markdown": ".md",
+    "application/pdf": ".pdf",
+    "application/json": ".json",
+    "text/csv": ".csv",
+    "application/octet-stream": ".bin",
+    "image/png": ".png",
+    "image/jpeg": ".jpg",
+    "image/tiff": ".tiff",
+    "image/webp": ".webp",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": ".pptx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": ".xlsx",
+}
+
+
+def safe_filename(c: Column, media: Column | None = None) -> Column:
+    """A file name of letters, digits, dot, underscore and hyphen, 120 at most; named snapshot where nothing is left, with a suffix of the media type where it has none."""
+    bare = F.regexp_replace(c, r"[/\\\p{Cc}]", "")
+    name = F.substring(F.btrim(F.regexp_replace(bare, r"[^A-Za-z0-9._-]+", "-"), F.lit("-.")), 1, 120)
+    name = F.when(name == "", "snapshot").otherwise(name)
+    known = F.create_map(*[F.lit(x) for pair in MIME_SUFFIX.items() for x in pair])
+    own = F.coalesce(F.try_element_at(known, media), F.lit(".bin")) if media is not None else F.lit(".bin")
+    return F.when(name.rlike(r"^.+\.[^.]+$"), name).otherwise(F.concat(name, own))
 
 
 def media_type(c: Column) -> Column:
@@ -39,18 +67,49 @@ def media_type(c: Column) -> Column:
     return F.lower(F.btrim(F.split_part(c, F.lit(";"), F.lit(1))))
 
 
+_LABEL = "[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+
+
 def canonical_url(c: Column) -> Column:
-    """Scheme and host in lower case, no default port, no fragment, at least the path /; null for anything else than http(s).
+    """Scheme and host in lower case, no default port, no fragment, at least the path /.
 
-    A host that isn't ASCII is left for ``idna_host``.
+    Null for anything else than http(s), and for addresses with blanks, control
+    characters, credentials, backslashes in the host, or a port or host that is
+    none. Names that aren't ASCII and addresses in brackets go through Python,
+    all others stay in the JVM.
     """
-    parts = r"^(?i)(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
-    scheme = F.lower(F.regexp_extract(c, parts, 1))
-    host = F.lower(F.regexp_extract(c, parts, 2))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
+    parts = r"^(?i)(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?(?:#.*)?$"
+    clean = ~c.rlike(r"(?U)[\s\p{Cc}]") & c.rlike(parts)
+    scheme, netloc = F.lower(F.regexp_extract(c, parts, 1)), F.regexp_extract(c, parts, 2)
+    sound = clean & ~netloc.rlike(r"[@\\%]|:$|^$")
+    plain = netloc.rlike(r"^[A-Za-z0-9.-]+(:[0-9]+)?$")
+    host = F.lower(F.regexp_extract(netloc, r"^([^:]*)", 1))
+    host = F.when(plain, F.when(host.rlike(rf"^{_LABEL}(?:\.{_LABEL})*\.*$") & (F.length(host) <= 253), host)).otherwise(_special_host(F.when(sound & ~plain, netloc)))
+    digits = F.regexp_extract(netloc, r":([0-9]+)$", 1)
+    default = F.when(scheme == "https", F.lit(443)).otherwise(F.lit(80))
+    port = F.when(digits == "", default).otherwise(digits.try_cast("int"))
+    query = F.regexp_extract(c, parts, 4)
     path = F.regexp_extract(c, parts, 3)
-    whole = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.regexp_extract(c, parts, 4))
-    return F.when((scheme != "") & (host != ""), whole)
+    whole = F.concat(scheme, F.lit("://"), host, F.when(port == default, "").otherwise(F.concat(F.lit(":"), port.cast("string"))), F.when(path == "", "/").otherwise(path), F.when(query == "?", "").otherwise(query))
+    return F.when(sound & host.isNotNull() & port.between(1, 65535), whole)
+
+
+def _special_host(netloc: Column) -> Column:
+    """Host of a netloc with an address in brackets or a name that isn't ASCII."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            if text is None:
+                return None
+            name = urlsplit(f"//{text}").hostname or ""
+            if ":" in name:
+                return f"[{ipaddress.ip_address(name)}]"
+            name = name.encode("idna").decode().lower()
+            return name if len(name) <= 253 and all(re.fullmatch(_LABEL, x) for x in name.rstrip(".").split(".")) else None
+        except ValueError:
+            return None
+
+    return F.pandas_udf(lambda texts: texts.map(one), "string")(netloc)
 
 
 def idna_host(c: Column) -> Column:
@@ -101,37 +160,44 @@ def whole_token(name: str) -> str:
     return r"(?U)(?<![\p{Alnum}_])\Q" + name.replace(r"\E", r"\E\\E\Q") + r"\E(?![\p{Alnum}_])"
 
 
+def _encoded(target: str, base: str) -> str:
+    return "/".join(quote(p, safe="-._~") for p in posixpath.relpath(target, posixpath.dirname(base) or ".").split("/"))
+
+
 def relative_link(target: Column, base: Column) -> Column:
     """Shortest relative path from the folder of ``base`` to ``target``, percent-encoded."""
 
     @F.pandas_udf("string")
     def link(targets: pd.Series, bases: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or b is None else quote(posixpath.relpath(t, posixpath.dirname(b) or "."), safe="/!$&'()*+,;=:@-._~") for t, b in zip(targets, bases)], dtype=object)
+        return pd.Series([None if t is None or b is None else _encoded(t, b) for t, b in zip(targets, bases)], dtype=object)
 
     return link(target, base)
 
 
 def resolve_link(link: Column, base: Column) -> Column:
-    """Path that a relative link leads to; null if it isn't in canonical spelling or leaves the tree. Fragments are dropped."""
+    """Path that a relative link leads to; null if it isn't in its one canonical spelling or leaves the tree. Fragments are dropped.
+
+    The canonical spelling is the shortest relative path with upper-case escapes
+    of all but unreserved characters; what spells the same path otherwise is refused.
+    """
+    raw = F.split_part(link, F.lit("#"), F.lit(1))
+    # refused before Python is asked: schemes, roots, forbidden characters and escapes, empty and dot parts
+    bad = raw.rlike(r"^$|^/|^[A-Za-z][A-Za-z0-9+.-]*:|[\\?\x00]|%(?![0-9A-F]{2})|%(?:2F|5C|00)|(^|/)\.?(/|$)")
 
     @F.pandas_udf("string")
     def resolve(links: pd.Series, bases: pd.Series) -> pd.Series:
         def one(a: str | None, b: str | None) -> str | None:
-            if not a or b is None:
-                return None
-            raw = a.split("#", 1)[0]
             try:
-                path = unquote_to_bytes(raw).decode()
+                whole = None if a is None or b is None else posixpath.normpath(posixpath.join(posixpath.dirname(b), unquote_to_bytes(a).decode()))
             except UnicodeDecodeError:
                 return None
-            if "\0" in path or path.startswith("/") or "%" in unquote_to_bytes(raw).decode(errors="replace"):
+            if whole is None or whole == ".." or whole.startswith("../"):
                 return None
-            whole = posixpath.normpath(posixpath.join(posixpath.dirname(b), path))
-            return None if whole.startswith("../") or whole in ("..", ".") else whole
+            return whole if _encoded(whole, b) == a else None
 
         return pd.Series([one(a, b) for a, b in zip(links, bases)], dtype=object)
 
-    return resolve(link, base)
+    return resolve(F.when(~bad, raw), base)
 
 
 def canonical_json(c: Column) -> Column:

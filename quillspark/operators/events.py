@@ -6,15 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.hashing import tree_digest
+from quillspark.operators.ordering import number_rows
 from quillspark.operators.reconcile import zero_filled
 
 KINDS = ("representation", "rewrite", "handoff", "gap", "action")
 
 
 def sequence_gaps(events: DataFrame, group: list[str], sequence: str) -> DataFrame:
-    """Places where a group's sequence doesn't go on by one."""
+    """Places where a group's sequence doesn't begin at 1 (before is 0 there) or go on by one."""
     w = Window.partitionBy(*group).orderBy(sequence)
-    return events.withColumn("before", F.lag(sequence).over(w)).where(F.col("before").isNotNull() & (F.col(sequence) - F.col("before") != 1)).select(*group, "before", F.col(sequence).alias("after"))
+    before = F.coalesce(F.lag(sequence).over(w), F.lit(0).cast("bigint"))
+    return events.withColumn("before", before).where(F.col(sequence) - F.col("before") != 1).select(*group, "before", F.col(sequence).alias("after"))
+
+
+def event_log(events: DataFrame, by: list[str]) -> DataFrame:
+    """sequence, line (header, event, trailer), kind, n and the events' columns: a header with the number of events, events numbered from 1, and the count of each kind last.
+
+    :param events: kind and columns to order by, which make each event unique.
+    """
+    numbered = number_rows(events, by, "sequence").withColumns({"line": F.lit("event"), "n": F.lit(1).cast("bigint")})
+    counts = events.groupBy("kind").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    header = total.select(F.lit(0).cast("bigint").alias("sequence"), F.lit("header").alias("line"), "n")
+    trailer = counts.join(F.broadcast(total.select((F.col("n") + 1).alias("sequence")))).select("sequence", F.lit("trailer").alias("line"), "kind", "n")
+    return numbered.unionByName(header, allowMissingColumns=True).unionByName(trailer, allowMissingColumns=True)
 
 
 def kind_counts(events: DataFrame, kinds: tuple[str, ...] = KINDS, column: str = "event_type") -> DataFrame:

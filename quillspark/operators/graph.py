@@ -40,7 +40,7 @@ def relation_problems(edges: DataFrame, kinds: DataFrame, allowed: str) -> DataF
     :param edges: a, b; :param kinds: doc, kind.
     """
     target = kinds.select(F.col("doc").alias("b"), "kind").distinct()
-    code = F.when(F.col("a") == F.col("b"), "relationship_self").when(F.col("kind").isNull(), "relationship_target_missing").when(F.col("kind") != allowed, "relationship_target_kind_invalid")
+    code = F.when(F.col("b").isNull(), "relationship_destination_invalid").when(F.col("a") == F.col("b"), "relationship_self").when(F.col("kind").isNull(), "relationship_target_missing").when(F.col("kind") != allowed, "relationship_target_kind_invalid")
     own = edges.select("a", "b").distinct().join(target, "b", "left").select("a", "b", code.alias("code")).where("code is not null")
     return own.unionByName(one_way(edges.where("a <> b")).select("a", "b", F.lit("relationship_not_reciprocal").alias("code")))
 

@@ -7,7 +7,7 @@ new file meets exactly one missing record it is a rename.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACTIONS = ("create", "retain", "process", "rename", "ambiguous", "missing", "integrity_error", "obscured")
@@ -41,7 +41,7 @@ def reconcile(live: DataFrame, ledger: DataFrame, skipped: DataFrame | None = No
 
     :param live: path, byte_size, mtime_ns, sha256, url; one row a path.
     :param ledger: source_id, path, byte_size, mtime_ns, sha256, url.
-    :param skipped: path of what couldn't be read; records at or under it are obscured.
+    :param skipped: path of what couldn't be read; records at or under it are obscured, and all of them by a skip without a path.
     """
     both = live.dropDuplicates(["path"]).alias("l").join(ledger.alias("r"), F.col("l.path") == F.col("r.path"), "full_outer")
     same = F.col("l.sha256").eqNullSafe(F.col("r.sha256")) & F.col("l.url").eqNullSafe(F.col("r.url"))
@@ -56,7 +56,11 @@ def reconcile(live: DataFrame, ledger: DataFrame, skipped: DataFrame | None = No
         # every folder above a path is a key, so that it is an equal join
         parts = F.split("path", "/")
         at = rest.where("not is_new").withColumn("above", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
-        hidden = at.join(skipped.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select("path", "source_id").distinct()
+        everything = skipped.where("path is null").select(F.lit(True).alias("every")).limit(1)
+        scopes = skipped.where("path is not null").select(F.col("path").alias("above")).distinct()
+        below = at.join(scopes, "above", "left_semi").select("path", "source_id")
+        # one row at most is joined to all
+        hidden = below.unionByName(rest.where("not is_new").join(F.broadcast(everything)).select("path", "source_id")).distinct()
         rest = rest.join(hidden.select("path", "source_id", F.lit(True).alias("hidden")), ["path", "source_id"], "left").where("hidden is null").drop("hidden")
     one = (F.col("n_new") == 1) & (F.col("n_gone") == 1)
     alone = F.when(F.col("is_new"), "create").otherwise("missing")
@@ -97,9 +101,22 @@ def is_current(active_derivation_id: Column, expected_derivation_id: Column) ->
     return active_derivation_id.eqNullSafe(expected_derivation_id)
 
 
-def coverage_gaps(records: DataFrame) -> DataFrame:
-    """Sources that a search can't cover, with the reason."""
-    return records.where("state <> 'ok' or active_derivation_id is null").select("source_id", "state", F.when(F.col("active_derivation_id").isNull(), "no_active_derivation").otherwise(F.concat(F.lit("state_"), F.col("state"))).alias("reason"))
+COVERAGE_STATES = tuple(s for s in STATES if s not in ("ok", "extracting"))
+
+
+def coverage_gaps(records: DataFrame, skipped: DataFrame) -> DataFrame:
+    """source_id, code, path of all that a search can't cover: skips, and each diagnosis of a source in a state that leaves it out.
+
+    :param records: source_id, state, path, codes (array; a source without any gets the name of its state); :param skipped: path, code.
+    """
+    codes = F.when(F.size(F.coalesce("codes", F.array().cast("array<string>"))) > 0, F.col("codes")).otherwise(F.array(F.concat(F.lit("source_"), F.col("state"))))
+    own = records.where(F.col("state").isin(*COVERAGE_STATES)).select("source_id", F.explode(codes).alias("code"), "path")
+    return skipped.select(F.lit(None).cast("string").alias("source_id"), "code", "path").unionByName(own)
+
+
+def descriptor_change(old_url: Column, old_description: Column, url: Column, description: Column) -> Column:
+    """What an edit of a URL descriptor means: a new description keeps the source, a new address clears what is active."""
+    return F.when(~url.eqNullSafe(old_url), "address_changed").when(~description.eqNullSafe(old_description), "described_anew").otherwise("unchanged")
 
 
 def adopt_versions(errors: DataFrame, approvals: DataFrame) -> DataFrame:
@@ -107,13 +124,36 @@ def adopt_versions(errors: DataFrame, approvals: DataFrame) -> DataFrame:
     return errors.join(approvals, ["source_id", "prior_sha256", "adopted_sha256"]).select("source_id", "prior_sha256", "adopted_sha256", "approval_note", "recorded_at")
 
 
-def chain_breaks(events: DataFrame) -> DataFrame:
-    """Adoptions whose prior content isn't what the adoption before them adopted, or that aren't later.
+def chain_breaks(events: DataFrame, versions: DataFrame, records: DataFrame) -> DataFrame:
+    """source_id, event_id (null for the source as a whole) and the first thing wrong with the source's chain of adoptions.
 
-    :param events: source_id, event_id, prior_sha256, adopted_sha256, at_us.
-    """
-    from pyspark.sql import Window
+    The chain begins at a held content, each adoption takes up what the one
+    before adopted, adopts a held content that was not there before, not earlier
+    than the one before, at the moment that content was first seen; it covers
+    all held contents, and its end is the active one.
 
+    :param events: source_id, event_id, prior_sha256, adopted_sha256, at_us; :param versions: source_id, sha256, since_us, one row a content; :param records: source_id, active.
+    """
     w = Window.partitionBy("source_id").orderBy("at_us", "event_id")
-    seen = events.withColumn("before", F.lag("adopted_sha256").over(w)).withColumn("before_us", F.lag("at_us").over(w))
-    return seen.where("before is not null and (before <> prior_sha256 or before_us >= at_us)").select("source_id", "event_id", F.when(F.col("before") != F.col("prior_sha256"), "prior_mismatch").otherwise("not_later").alias("problem"))
+    held = lambda c: versions.select("source_id", F.col("sha256").alias(f"{c}_sha256"), F.col("since_us").alias(f"{c}_us"))
+    chained = events.join(held("prior"), ["source_id", "prior_sha256"], "left").join(held("adopted"), ["source_id", "adopted_sha256"], "left")
+    again = F.row_number().over(Window.partitionBy("source_id", "adopted_sha256").orderBy("at_us", "event_id")) > 1
+    chained = chained.select("*", again.alias("again"), F.first("prior_sha256").over(w).alias("root"), F.lag("adopted_sha256").over(w).alias("before"), F.coalesce(F.lag("at_us").over(w), F.col("prior_us")).alias("before_us"))
+    problem = (
+        F.when(F.col("before").isNull() & F.col("prior_us").isNull(), "root_not_held")
+        .when(F.col("before") != F.col("prior_sha256"), "prior_mismatch")
+        .when(F.col("again") | (F.col("adopted_sha256") == F.col("root")), "adopted_again")
+        .when(F.col("adopted_us").isNull(), "adopted_not_held")
+        .when(F.col("prior_us").isNull(), "prior_not_held")
+        .when(F.col("at_us") < F.col("before_us"), "not_later")
+        .when(F.col("adopted_us") != F.col("at_us"), "first_seen_differs")
+    )
+    broken = chained.select("source_id", "event_id", problem.alias("problem")).where("problem is not null")
+    ends = events.groupBy("source_id").agg(F.max_by("adopted_sha256", F.struct("at_us", "event_id")).alias("last"), F.min_by("prior_sha256", F.struct("at_us", "event_id")).alias("root"))
+    members = events.select("source_id", F.col("adopted_sha256").alias("sha256")).unionByName(ends.select("source_id", F.col("root").alias("sha256"))).distinct().withColumn("inside", F.lit(True))
+    # without adoptions a source holds one content
+    alone = versions.groupBy("source_id").agg(F.count("*").alias("n_held"), F.min("sha256").alias("only"))
+    outside = versions.join(members, ["source_id", "sha256"], "left").join(alone, "source_id").join(ends, "source_id", "left").where(F.col("inside").isNull() & (F.col("last").isNotNull() | (F.col("n_held") > 1))).select("source_id").distinct()
+    end = records.join(ends, "source_id", "left").join(alone, "source_id", "left").where(~F.col("active").eqNullSafe(F.coalesce("last", "only"))).select("source_id").distinct()
+    whole = outside.withColumn("problem", F.lit("held_outside_chain")).unionByName(end.withColumn("problem", F.lit("active_not_last")))
+    return broken.unionByName(whole.select("source_id", F.lit(None).cast("bigint").alias("event_id"), "problem"))

@@ -67,9 +67,18 @@ def matching_lines(docs: DataFrame, doc: str, text: str, terms: tuple[str, ...])
 
 def lines_with_context(docs: DataFrame, doc: str, text: str, terms: tuple[str, ...], context: int) -> DataFrame:
     """doc, line_no, line, kind (match or context); overlapping windows are merged."""
-    lines = numbered_lines(candidates(docs, text, terms), doc, text).withColumn("hit", any_term(F.col("line"), terms))
-    near = F.max(F.col("hit").cast("int")).over(Window.partitionBy("doc").orderBy("line_no").rowsBetween(-context, context))
-    return lines.withColumn("near", near).where("near = 1").select("doc", "line_no", "line", F.when(F.col("hit"), "match").otherwise("context").alias("kind"))
+    lines = F.split(F.regexp_replace(F.col(text), r"\n\z", ""), "\n", -1)
+    both = F.struct(lines.alias("lines"), F.transform(lines, lambda x: any_term(x, terms)).alias("hits"))
+
+    def near(b: Column) -> Column:
+        """Lines within the row that a hit is near to: nothing is shuffled."""
+        first = lambda i: F.greatest(F.lit(1), i + 1 - context)
+        flagged = F.transform(b["lines"], lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("line"), F.get(b["hits"], i).alias("hit"), F.exists(F.slice(b["hits"], first(i), i + 2 + context - first(i)), lambda h: h).alias("near")))
+        return F.filter(flagged, lambda x: x["near"])
+
+    # both arrays are bound once, as a lambda's variable
+    kept = candidates(docs, text, terms).select(F.col(doc).alias("doc"), F.explode(F.flatten(F.transform(F.array(both), near))).alias("x"))
+    return kept.select("doc", "x.line_no", "x.line", F.when(F.col("x.hit"), "match").otherwise("context").alias("kind"))
 
 
 def search_pages(docs: DataFrame, doc: str, text: str, request: SearchRequest) -> DataFrame:

@@ -111,15 +111,24 @@ def state_counts(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.zero_filled(_sources(spark, d), "state", reconcile.STATES)
 
 
+def gaps_of(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps of the ledger: unreadable files are skips, the codes of a source's failed extractions are its diagnostics."""
+    skipped = table(spark, d, "inventory").where("sha256 is null").select("path", F.lit("raw_file_unavailable").alias("code")).distinct()
+    codes = table(spark, d, "extracted_payloads").where("code is not null").groupBy(norm_key("source_id").alias("source_id")).agg(F.collect_set("code").alias("codes"))
+    records = _sources(spark, d).select("source_id", "state", F.col("current_raw_path").alias("path")).join(codes, "source_id", "left")
+    return reconcile.coverage_gaps(records, skipped)
+
+
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.coverage_gaps(_sources(spark, d))
+    return gaps_of(spark, d)
 
 
 def adoption_chain_breaks(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "adoption_events")
     row = F.struct(norm_key("source_id").alias("source_id"), norm_key("prior_sha256").alias("prior_sha256"), norm_key("adopted_sha256").alias("adopted_sha256"), instant_us("recorded_at").alias("at_us"))
     latest = e.groupBy("event_id").agg(F.max_by(row, "delivered_at").alias("r")).select("event_id", "r.*")
-    return reconcile.chain_breaks(latest)
+    held = table(spark, d, "content_versions").select(norm_key("source_id").alias("source_id"), norm_key("sha256").alias("sha256"), instant_us("first_seen_at").alias("us")).groupBy("source_id", "sha256").agg(F.min("us").alias("since_us"))
+    return reconcile.chain_breaks(latest, held, _sources(spark, d).select("source_id", norm_key("active_content_sha256").alias("active")))
 
 
 def _wiki(spark: SparkSession, d: str) -> DataFrame:
@@ -153,8 +162,13 @@ def undefined_markers(spark: SparkSession, d: str) -> DataFrame:
     return citations.undefined_markers(markdown.markers(w, "doc_id", "text"), markdown.definitions(w, "doc_id", "text")).select("doc", "line_no", "citation_id").distinct()
 
 
+def note_path(doc: str) -> F.Column:
+    """The file that a document stands in; its relations and links start there."""
+    return F.concat(F.lit("wiki/notes/"), F.col(doc).cast("string"), F.lit(".md"))
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    rows = markdown.links(_wiki(spark, d), "doc_id", "text").select(F.concat(F.lit("wiki/pages/"), F.col("doc").cast("string"), F.lit(".md")).alias("doc"), "line_no", "label", "destination")
+    rows = markdown.links(_wiki(spark, d), "doc_id", "text").select(note_path("doc").alias("doc"), "line_no", "label", "destination")
     return graph.resolved(rows, F.col("doc"))
 
 
@@ -178,15 +192,15 @@ def link_targets_missing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reciprocity_violations(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "citations").where("source_id is not null and derivation_id is not null")
-    edges = c.select(F.substring(norm_key("source_id"), 5, 1).alias("a"), F.substring(norm_key("derivation_id"), 5, 1).alias("b"), (F.col("citation_key") % 7).alias("k")).where("a <> b and k = 0")
-    return graph.one_way(edges)
+    """Changes of content that were never taken back: adoptions as directed edges."""
+    edges = table(spark, d, "adoption_events").select(norm_key("prior_sha256").alias("a"), norm_key("adopted_sha256").alias("b"))
+    return graph.one_way(edges.where("a <> b"))
 
 
 def page_reciprocity(spark: SparkSession, d: str) -> DataFrame:
     """Relations that a page declares to another and that aren't returned, over all pages."""
     pages = _named_pages(spark, d).select(F.col("doc_id").alias("doc"), F.col("doc").alias("a"))
-    edges = graph.resolved(page_relations(spark, d).select("doc", "destination").join(pages, "doc"), F.col("a")).select("a", F.col("target").alias("b"))
+    edges = graph.resolved(page_relations(spark, d).select("doc", "destination").join(pages, "doc"), note_path("doc")).select("a", F.col("target").alias("b"))
     return graph.one_way(edges.where("a <> b"))
 
 
@@ -195,7 +209,7 @@ def ambiguous_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return graph.first_mentions(markdown.numbered_lines(_wiki(spark, d), "doc_id", "text"), ("lighthouse journal", "journal", "parish roll"))
+    return graph.first_mentions(markdown.running_text(_wiki(spark, d), "doc_id", "text"), ("lighthouse journal", "journal", "parish roll"))
 
 
 def wiki_index(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +246,7 @@ def ocr_accepted(spark: SparkSession, d: str) -> DataFrame:
 
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("path")
-    rows = table(spark, d, "inventory").select("path", strings.file_name(c).alias("name"), strings.suffix(c).alias("suffix"), strings.parent(c).alias("parent"), strings.safe_filename(strings.file_name(c)).alias("safe"), strings.is_relative_posix(c).alias("relative"))
+    rows = table(spark, d, "inventory").select("path", strings.file_name(c).alias("name"), strings.suffix(c).alias("suffix"), strings.parent(c).alias("parent"), strings.safe_filename(strings.file_name(c), F.col("media_type")).alias("safe"), strings.is_relative_posix(c).alias("relative"))
     return rows.distinct()
 
 
@@ -324,6 +338,12 @@ def quality_report(spark: SparkSession, d: str) -> DataFrame:
     return report.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+def quality_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every violating row."""
+    names = {r.table for r in quality.RULES}
+    return quality.quality_report({t: table(spark, d, t) for t in names}).select("rule_id", "path", "details")
+
+
 def status_rollup(spark: SparkSession, d: str) -> DataFrame:
     names = {r.table for r in quality.RULES}
     return quality.status(_sources(spark, d), table(spark, d, "inventory"), {t: table(spark, d, t) for t in names})
@@ -335,7 +355,7 @@ QUERIES = {
         literal_line_search, search_candidates, search_with_context, search_first_term, search_matched_terms, first_hit_per_doc, search_pages, search_run_proof, freshness_probe, link_candidates, content_ids, corpus_revision,
         corpus_revision_tree, exact_duplicates, reconcile_decisions, reconcile_actions, state_counts, coverage_gaps, adoption_chain_breaks, page_headings, section_extents, skipped_levels, page_frontmatter, citation_markers,
         undefined_markers, page_links, link_targets_missing, reciprocity_violations, page_reciprocity, ambiguous_names, first_mentions, wiki_index, extractor_choice, canonical_urls, md_table, json_blocks, line_anchors, ocr_accepted,
-        path_parts, strict_instants, page_relations, label_spans, retained_versions, hashed_twice, anchor_problems, citation_integrity, conflicting_evidence, evidence_packet, reference_problems, event_sequence_check, event_kind_counts, event_digest, bounded_sample, postimage_diff, dropped_markers, quality_report, status_rollup,
+        path_parts, strict_instants, page_relations, label_spans, retained_versions, hashed_twice, anchor_problems, citation_integrity, conflicting_evidence, evidence_packet, reference_problems, event_sequence_check, event_kind_counts, event_digest, bounded_sample, postimage_diff, dropped_markers, quality_report, quality_rows, status_rollup,
     )
 }
 

@@ -20,7 +20,7 @@ marks AS (SELECT doc, line_no, unnest(regexp_extract_all(line, '\\[\\^([^\\]\\s]
 _SOURCES = f"""sources AS (SELECT r.* FROM (SELECT arg_max(s, (epoch_us(updated_at::TIMESTAMPTZ), s)) AS r FROM (
   SELECT {_key('source_id')} AS k, updated_at, struct_pack(source_id := {_key('source_id')}, schema_version := schema_version, current_raw_path := current_raw_path, previous_raw_paths := previous_raw_paths, media_type := media_type, byte_size := byte_size, state := state, active_content_sha256 := active_content_sha256, active_derivation_id := active_derivation_id, created_at := created_at, inspected_at := inspected_at, updated_at := updated_at) AS s FROM source_records) GROUP BY k))"""
 _LINKS = FENCED + """, found AS (SELECT doc, line_no, unnest(regexp_extract_all(regexp_replace(line, '`[^`]*`', '', 'g'), '(\\[[^\\]\\[]*\\]\\([^()\\s]+\\))', 1)) AS link FROM outside),
-links AS (SELECT 'wiki/pages/' || doc || '.md' AS doc, line_no, regexp_extract(link, '^\\[([^\\]]*)\\]', 1) AS label, regexp_extract(link, '\\]\\(([^)]*)\\)$', 1) AS destination FROM found)"""
+links AS (SELECT 'wiki/notes/' || doc || '.md' AS doc, line_no, regexp_extract(link, '^\\[([^\\]]*)\\]', 1) AS label, regexp_extract(link, '\\]\\(([^)]*)\\)$', 1) AS destination FROM found)"""
 _RULES = f"""rules AS (
   SELECT DISTINCT 'source_id_invalid' AS rule_id, current_raw_path AS path, source_id AS details FROM source_records WHERE NOT regexp_matches({_key('source_id')}, '^src_[0-9a-f]{{64}}$')
   UNION ALL SELECT DISTINCT 'state_invalid', current_raw_path, source_id FROM source_records WHERE state NOT IN ('pending', 'extracting', 'ok', 'warning', 'needs_agent', 'failed', 'unsupported', 'integrity_error', 'awaiting_approval')
@@ -81,10 +81,20 @@ leaves AS (SELECT b, sha256(string_agg(r, chr(10) ORDER BY r)) AS leaf, count(*)
     "reconcile_decisions": _DECISIONS + "SELECT path, source_id, action FROM decisions",
     "reconcile_actions": _DECISIONS + _filled(["create", "retain", "process", "rename", "ambiguous", "missing", "integrity_error", "obscured"], "action", "decisions"),
     "state_counts": f"WITH {_SOURCES} " + _filled(["pending", "extracting", "ok", "warning", "needs_agent", "failed", "unsupported", "integrity_error", "awaiting_approval"], "state", "sources"),
-    "coverage_gaps": f"WITH {_SOURCES} SELECT source_id, state, CASE WHEN active_derivation_id IS NULL THEN 'no_active_derivation' ELSE 'state_' || state END AS reason FROM sources WHERE state <> 'ok' OR active_derivation_id IS NULL",
-    "adoption_chain_breaks": f"""WITH latest AS (SELECT event_id, arg_max(struct_pack(s := {_key('source_id')}, p := {_key('prior_sha256')}, a := {_key('adopted_sha256')}, t := epoch_us(recorded_at::TIMESTAMPTZ)), delivered_at) AS e FROM adoption_events GROUP BY 1),
-chain AS (SELECT event_id, e.s AS source_id, e.p AS p, e.t AS t, lag(e.a) OVER w AS before, lag(e.t) OVER w AS before_t FROM latest WINDOW w AS (PARTITION BY e.s ORDER BY e.t, event_id))
-SELECT source_id, event_id, CASE WHEN before <> p THEN 'prior_mismatch' ELSE 'not_later' END AS problem FROM chain WHERE before IS NOT NULL AND (before <> p OR before_t >= t)""",
+    "coverage_gaps": f"""WITH {_SOURCES}, codes AS (SELECT DISTINCT {_key('source_id')} AS source_id, code FROM extracted_payloads WHERE code IS NOT NULL)
+SELECT NULL::VARCHAR AS source_id, 'raw_file_unavailable' AS code, path FROM (SELECT DISTINCT path FROM inventory WHERE sha256 IS NULL)
+UNION ALL SELECT s.source_id, coalesce(c.code, 'source_' || s.state), s.current_raw_path FROM sources s LEFT JOIN codes c ON c.source_id = s.source_id WHERE s.state IN ('pending', 'warning', 'needs_agent', 'failed', 'unsupported', 'integrity_error', 'awaiting_approval')""",
+    "adoption_chain_breaks": f"""WITH {_SOURCES}, latest AS (SELECT event_id, arg_max(struct_pack(s := {_key('source_id')}, p := {_key('prior_sha256')}, a := {_key('adopted_sha256')}, t := epoch_us(recorded_at::TIMESTAMPTZ)), delivered_at) AS e FROM adoption_events GROUP BY 1),
+ev AS (SELECT event_id, e.s AS source_id, e.p AS p, e.a AS a, e.t AS t FROM latest),
+held AS (SELECT {_key('source_id')} AS source_id, {_key('sha256')} AS sha256, min(epoch_us(try_cast(first_seen_at AS TIMESTAMPTZ))) AS us FROM content_versions GROUP BY 1, 2),
+chain AS (SELECT ev.*, hp.us AS prior_us, ha.us AS adopted_us, hp.sha256 AS hp, ha.sha256 AS ha, row_number() OVER (PARTITION BY ev.source_id, a ORDER BY t, event_id) > 1 AS again, first(p) OVER w AS root, lag(a) OVER w AS before, coalesce(lag(t) OVER w, hp.us) AS before_us
+  FROM ev LEFT JOIN held hp ON hp.source_id = ev.source_id AND hp.sha256 = p LEFT JOIN held ha ON ha.source_id = ev.source_id AND ha.sha256 = a WINDOW w AS (PARTITION BY ev.source_id ORDER BY t, event_id)),
+ends AS (SELECT source_id, arg_max(a, (t, event_id)) AS last, arg_min(p, (t, event_id)) AS root FROM ev GROUP BY 1),
+members AS (SELECT source_id, a AS sha256 FROM ev UNION SELECT source_id, root FROM ends), alone AS (SELECT source_id, count(*) AS n, min(sha256) AS only FROM held GROUP BY 1)
+SELECT * FROM (SELECT source_id, event_id, CASE WHEN before IS NULL AND prior_us IS NULL THEN 'root_not_held' WHEN before <> p THEN 'prior_mismatch' WHEN again OR a = root THEN 'adopted_again' WHEN adopted_us IS NULL THEN 'adopted_not_held'
+  WHEN prior_us IS NULL THEN 'prior_not_held' WHEN t < before_us THEN 'not_later' WHEN adopted_us <> t THEN 'first_seen_differs' END AS problem FROM chain) WHERE problem IS NOT NULL
+UNION ALL SELECT DISTINCT h.source_id, NULL::BIGINT, 'held_outside_chain' FROM held h LEFT JOIN members m ON m.source_id = h.source_id AND m.sha256 = h.sha256 JOIN alone a ON a.source_id = h.source_id LEFT JOIN ends e ON e.source_id = h.source_id WHERE m.sha256 IS NULL AND (e.last IS NOT NULL OR a.n > 1)
+UNION ALL SELECT DISTINCT s.source_id, NULL::BIGINT, 'active_not_last' FROM sources s LEFT JOIN ends e ON e.source_id = s.source_id LEFT JOIN alone a ON a.source_id = s.source_id WHERE {_key('s.active_content_sha256')} IS DISTINCT FROM coalesce(e.last, a.only)""",
     "page_headings": f"WITH {HEADS} SELECT * FROM heads",
     "section_extents": f"WITH {HEADS} SELECT h.doc, h.line_no, h.level, coalesce(min(n.line_no) - 1, -1)::BIGINT AS end_line FROM heads h LEFT JOIN heads n ON n.doc = h.doc AND n.line_no > h.line_no AND n.level <= h.level GROUP BY 1, 2, 3",
     "skipped_levels": f"WITH {HEADS} SELECT doc, line_no, level FROM (SELECT *, coalesce(lag(level) OVER (PARTITION BY doc ORDER BY line_no), 0) AS before FROM heads) WHERE level > before + 1",
@@ -96,7 +106,7 @@ SELECT doc_id, regexp_extract(f, '\\nid: ?([^\\n]*)', 1) AS id, regexp_extract(f
     "link_targets_missing": f"""WITH {_LINKS}, named AS (SELECT DISTINCT 'wiki/pages/' || lower(regexp_extract(text, '(?s)^---\\n.*?aliases: ?\\[([^,\\]\\n]+)', 1)) || '.md' AS doc FROM wiki WHERE regexp_matches(text, '(?s)^---\\n.*?aliases: ?\\[[^,\\]\\n]+')),
 placed AS (SELECT *, 'wiki/' || regexp_replace(regexp_replace(destination, '#.*$', ''), '^\\.\\./', '') AS target FROM links)
 SELECT doc, line_no, destination, CASE WHEN target = doc THEN 'link_self' WHEN target NOT IN (SELECT doc FROM named) THEN 'link_target_missing' ELSE 'link_fragment_invalid' END AS code FROM placed WHERE target = doc OR target NOT IN (SELECT doc FROM named) OR contains(destination, '#')""",
-    "reciprocity_violations": f"""WITH edges AS (SELECT DISTINCT {_key('source_id')}[5:5] AS a, {_key('derivation_id')}[5:5] AS b FROM citations WHERE source_id IS NOT NULL AND derivation_id IS NOT NULL AND citation_key % 7 = 0)
+    "reciprocity_violations": f"""WITH edges AS (SELECT DISTINCT {_key('prior_sha256')} AS a, {_key('adopted_sha256')} AS b FROM adoption_events WHERE prior_sha256 IS NOT NULL AND adopted_sha256 IS NOT NULL)
 SELECT a, b FROM edges e WHERE a <> b AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.a = e.b AND r.b = e.a)""",
     "page_reciprocity": f"""WITH {WIKI}, named AS (SELECT doc_id AS doc, 'wiki/pages/' || lower(regexp_extract(text, '(?s)^---\\n.*?aliases: ?\\[([^,\\]\\n]+)', 1)) || '.md' AS a FROM wiki WHERE regexp_matches(text, '(?s)^---\\n.*?aliases: ?\\[[^,\\]\\n]+')),
 declared AS (SELECT doc, regexp_extract(line, '\\]\\(([^()\\s]+)\\): ', 1) AS destination FROM lines WHERE regexp_matches(line, '^- \\[[^\\]]+\\]\\([^()\\s]+\\): .+$')),
@@ -107,10 +117,12 @@ SELECT a, b FROM edges e WHERE a <> b AND NOT EXISTS (SELECT 1 FROM edges r WHER
 SELECT ends_with(title, '?')::INT AS part, path, '- [' || regexp_replace(title, '([\\\\\\[\\]])', '\\\\\\1', 'g') || '](' || path || ')' AS line FROM titles""",
     "extractor_choice": """SELECT DISTINCT path, CASE WHEN media_type = 'application/pdf' THEN 'pdf' WHEN media_type IN ('image/png', 'image/tiff', 'image/jpeg') THEN 'image' WHEN media_type = 'text/plain' THEN 'text'
   WHEN lower(path) LIKE '%.url.md' THEN 'webpage' WHEN lower(path) LIKE '%.pdf' THEN 'pdf' WHEN regexp_matches(lower(path), '\\.(png|tiff|jpg)$') THEN 'image' WHEN regexp_matches(lower(path), '\\.(txt|md)$') THEN 'text' END AS extractor_id FROM inventory""",
-    "canonical_urls": """WITH parts AS (SELECT capture_id, lower(regexp_extract(final_url, '(?i)^(https?)://', 1)) AS s, lower(regexp_extract(final_url, '(?i)^https?://([^/?#]*)', 1)) AS h, regexp_extract(final_url, '(?i)^https?://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(final_url, '(?i)^https?://[^/?#]*[^?#]*(\\?[^#]*)', 1) AS q FROM rendered_captures)
-SELECT DISTINCT capture_id, s || '://' || regexp_replace(h, CASE WHEN s = 'http' THEN ':80$' ELSE ':443$' END, '') || CASE WHEN p = '' THEN '/' ELSE p END || q AS url FROM parts""",
+    "canonical_urls": """WITH parts AS (SELECT capture_id, final_url, lower(regexp_extract(final_url, '(?i)^(https?)://', 1)) AS s, regexp_extract(final_url, '(?i)^https?://([^/?#]*)', 1) AS n, regexp_extract(final_url, '(?i)^https?://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(final_url, '(?i)^https?://[^/?#]*[^?#]*(\\?[^#]*)', 1) AS q FROM rendered_captures),
+named AS (SELECT *, lower(regexp_extract(n, '^([^:]*)', 1)) AS h, CASE WHEN s = 'https' THEN 443 ELSE 80 END AS standard, try_cast(nullif(regexp_extract(n, ':([0-9]+)$', 1), '') AS INT) AS port FROM parts)
+SELECT DISTINCT capture_id, CASE WHEN s <> '' AND NOT regexp_matches(final_url, '[\\s[:cntrl:]]') AND regexp_matches(n, '^[A-Za-z0-9.-]+(:[0-9]+)?$') AND regexp_matches(h, '^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)*\\.*$') AND length(h) <= 253 AND coalesce(port, standard) BETWEEN 1 AND 65535
+  THEN s || '://' || h || CASE WHEN coalesce(port, standard) = standard THEN '' ELSE ':' || port END || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN q = '?' THEN '' ELSE q END END AS url FROM named""",
     "md_table": """WITH r AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS i FROM nation)
-SELECT n_regionkey, '| Source row | Column 1 | Column 2 |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| <a id="row:' || i || '"></a>' || i || ' | ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY i) AS markdown FROM r GROUP BY 1""",
+SELECT n_regionkey, '| Column 1 | Column 2 | Source row |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' | <a id="row:' || i || '"></a> |', chr(10) ORDER BY i) || chr(10) AS markdown FROM r GROUP BY 1""",
     "json_blocks": """SELECT event_id, '{"k":' || (props->>'$.k') || '}' AS canonical FROM events""",
     "citation_integrity": f"""WITH c AS (SELECT DISTINCT citation_key, {_key('source_id')} AS s, {_key('content_sha256')} AS h, {_key('derivation_id')} AS d, anchor_kind AS k, anchor_value AS v FROM citations),
 src AS (SELECT DISTINCT {_key('source_id')} AS s FROM source_records), ver AS (SELECT DISTINCT {_key('source_id')} AS s, {_key('sha256')} AS h FROM content_versions),
@@ -128,11 +140,12 @@ SELECT DISTINCT * FROM (SELECT key, CASE WHEN len(list_distinct(declared)) < len
 walk AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, NULL::BIGINT AS doc_id, NULL::BIGINT AS n_chars, false AS kept
   UNION ALL SELECT t.i, CASE WHEN w.used + t.n_chars <= 32768 THEN w.used + t.n_chars ELSE w.used END, t.doc_id, t.n_chars, w.used + t.n_chars <= 32768 FROM walk w JOIN top t ON t.i = w.i + 1)
 SELECT doc_id, n_chars, (SELECT count(*) FROM documents WHERE n_chars IS NOT NULL) AS total FROM walk WHERE kept""",
-    "first_mentions": f"""WITH {WIKI}, named AS (SELECT doc, line_no, line, name FROM lines, (VALUES ('lighthouse journal'), ('journal'), ('parish roll')) v(name)),
+    "first_mentions": f"""WITH {FENCED}, named AS (SELECT doc, line_no, line, name FROM outside, (VALUES ('lighthouse journal'), ('journal'), ('parish roll')) v(name) WHERE NOT regexp_matches(line, '^#{{1,6}} +\\S|^\\[\\^[^\\]\\s]+\\]:')),
 placed AS (SELECT doc, line_no, name, length(regexp_extract(line, '^(.*?(?:^|[^\\pL\\pN_]))' || name || '($|[^\\pL\\pN_])', 1)) + 1 AS place FROM named WHERE regexp_matches(line, '(^|[^\\pL\\pN_])' || name || '($|[^\\pL\\pN_])'))
 SELECT doc, line_no, place AS "column", name FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no, place, -length(name)) AS i FROM placed) WHERE i = 1""",
     "path_parts": """SELECT DISTINCT path, regexp_extract(path, '([^/]*)$', 1) AS name, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '[^.](\\.[^.]+)$', 1)) AS suffix, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent,
-  trim(regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[^A-Za-z0-9._-]+', '-', 'g'), '-{2,}', '-', 'g'), '-.') AS safe,
+  (SELECT CASE WHEN regexp_matches(n, '^.+\\.[^.]+$') THEN n ELSE n || coalesce(MAP {'text/plain': '.txt', 'application/pdf': '.pdf', 'image/png': '.png', 'image/jpeg': '.jpg', 'image/tiff': '.tiff', 'text/html': '.html', 'text/markdown': '.md', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document': '.docx'}[media_type], '.bin') END
+    FROM (SELECT coalesce(nullif(left(trim(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[^A-Za-z0-9._-]+', '-', 'g'), '-.'), 120), ''), 'snapshot') AS n)) AS safe,
   NOT (regexp_matches(path, '(^|/)(\\.|\\.\\.)?(/|$)') OR contains(path, chr(92)) OR regexp_matches(path, '[[:cntrl:]]')) AS relative FROM inventory""",
     "strict_instants": """SELECT DISTINCT source_id, created_at, CASE WHEN regexp_matches(created_at, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d{6})?Z$') THEN epoch_us(try_cast(created_at AS TIMESTAMPTZ)) END AS created_us FROM source_records""",
     "page_relations": f"""WITH {WIKI} SELECT doc, line_no, regexp_extract(line, '^- \\[([^\\]]+)\\]', 1) AS label, regexp_extract(line, '\\]\\(([^()\\s]+)\\): ', 1) AS destination, regexp_extract(line, '\\): (.+)$', 1) AS note FROM lines WHERE regexp_matches(line, '^- \\[[^\\]]+\\]\\([^()\\s]+\\): .+$')""",
@@ -144,7 +157,7 @@ SELECT DISTINCT doc, line_no, strpos(line, link) + 1 AS from_column, strpos(line
     "evidence_packet": f"WITH {LINES} SELECT true AS valid, 'r1' AS revision, count(DISTINCT (doc, line_no)) AS n_evidence FROM lines WHERE {_ANY.format(c='line')}",
     "reference_problems": """WITH c AS (SELECT DISTINCT document, citation_id, anchor_kind FROM citations WHERE citation_id IS NOT NULL), s AS (SELECT DISTINCT document, citation_id FROM c WHERE anchor_kind = 'page'), o AS (SELECT DISTINCT document, citation_id FROM c WHERE anchor_kind = 'line'), k AS (SELECT DISTINCT document, citation_id FROM c WHERE anchor_kind <> 'page')
 SELECT document, citation_id, 'support_and_counter' AS code FROM s JOIN o USING (document, citation_id) UNION ALL SELECT document, citation_id, 'unknown_citation' FROM (SELECT * FROM s UNION SELECT * FROM o) x WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.document = x.document AND k.citation_id = x.citation_id)""",
-    "event_sequence_check": "SELECT user_id, before, event_id AS after FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_id - before <> 1",
+    "event_sequence_check": "SELECT user_id, before, event_id AS after FROM (SELECT user_id, event_id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0)::BIGINT AS before FROM events) WHERE event_id - before <> 1",
     "event_kind_counts": _filled(["click", "view", "purchase", "signup", "error", "refund"], "event_type", "events"),
     "event_digest": """WITH leaves AS (SELECT event_type, event_id // 1000 AS b, count(*) AS n, sha256(string_agg(lpad(event_id::VARCHAR, 20, '0') || chr(0) || props, chr(10) ORDER BY event_id)) AS leaf FROM events WHERE props IS NOT NULL GROUP BY 1, 2)
 SELECT event_type, sha256(string_agg(leaf, chr(10) ORDER BY b)) AS digest, sum(n)::BIGINT AS n FROM leaves GROUP BY 1""",
@@ -152,6 +165,7 @@ SELECT event_type, sha256(string_agg(leaf, chr(10) ORDER BY b)) AS digest, sum(n
 SELECT * FROM (SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.i IS NULL THEN 'added' WHEN a.i IS NULL THEN 'removed' WHEN b.text IS DISTINCT FROM a.text THEN 'changed' END AS change FROM b FULL JOIN a ON a.doc_id = b.doc_id) WHERE change IS NOT NULL""",
     "dropped_markers": f"WITH {_MARKED} SELECT doc, count(*) AS n_dropped FROM marks WHERE doc % 3 = 0 GROUP BY doc",
     "quality_report": f"WITH {_RULES} SELECT rule_id, count(*) AS n FROM rules GROUP BY 1",
+    "quality_rows": f"WITH {_RULES} SELECT * FROM rules",
     "status_rollup": f"WITH {_SOURCES}, {_RULES} SELECT 'state' AS what, state AS name, count(*) AS n FROM sources GROUP BY state UNION ALL SELECT 'inventory', 'paths', count(DISTINCT path) FROM inventory UNION ALL SELECT 'rule', rule_id, count(*) FROM rules GROUP BY rule_id",
     "ocr_accepted": """SELECT DISTINCT payload_id, length(regexp_replace(markdown, '[^\\pL\\pN]', '', 'g')) >= 10 AND len(list_filter(regexp_split_to_array(markdown, '[ \\t\\n\\r\\f\\v]+'), lambda t: t <> '')) >= 3 AS accepted FROM extracted_payloads WHERE extractor_id IN ('pdf', 'image') AND markdown IS NOT NULL""",
 }

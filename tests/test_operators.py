@@ -47,6 +47,12 @@ def test_identities(spark):
 def test_strings(spark):
     assert one(spark, strings.canonical_url(F.col("u")), u="HTTP://ExA.mple:80?q=1#f") == "http://exa.mple/?q=1"
     assert one(spark, strings.canonical_url(F.col("u")), u="ftp://x") is None
+    urls = {"https://a.example": "https://a.example/", "http://a.b:8080?x": "http://a.b:8080/?x", "https://u:p@a.b/": None, "http://a b/": None, "http://a.b:/": None, "http://a.b:70000/": None, "http://-a.b/": None, "http://a%41.b/": None, "http://[2001:DB8::1]:443/x": "http://[2001:db8::1]:443/x", "https://B\u00fccher.example/\u00e4": "https://xn--bcher-kva.example/\u00e4", "http://127.0.0.1/?#f": "http://127.0.0.1/"}
+    assert {u: one(spark, strings.canonical_url(F.col("u")), u=u) for u in urls} == urls
+    for bad in ("a%2fb.md", "a%2Fb.md", "./a.md", "x/../a.md", "http://a", "a?b", "a\\b", "%7Ea.md", "../x/a.md", "a//b.md", "%c3%a4.md", ""):
+        assert one(spark, strings.resolve_link(F.col("t"), F.col("b")), t=bad, b="x/y.md") is None, bad
+    assert one(spark, strings.resolve_link(F.col("t"), F.col("b")), t="%C3%A4.md", b="x/y.md") == "x/\u00e4.md"
+    assert one(spark, strings.safe_filename(F.col("n"), F.lit("image/png")), n=".a / b-") == "a-b.png" and one(spark, strings.safe_filename(F.col("n")), n="//") == "snapshot.bin"
     assert one(spark, strings.relative_link(F.col("t"), F.col("b")), t="a/b c.md", b="x/y.md") == "../a/b%20c.md"
     assert one(spark, strings.resolve_link(F.col("t"), F.col("b")), t="../a/b%20c.md#s", b="x/y.md") == "a/b c.md"
     assert one(spark, strings.resolve_link(F.col("t"), F.col("b")), t="../../a", b="x/y.md") is None
@@ -97,11 +103,19 @@ def test_extraction(spark):
     assert one(spark, extraction.json_payload(F.col("t")), t='{"b":"```","a":1}').startswith('<a id="block:1"></a>\n\n````json\n{\n  "a": 1')
     assert one(spark, extraction.json_payload(F.col("t")), t="nope") is None
     assert one(spark, extraction.form_feed_pages(F.col("t")), t="a\fb\f") == ["a", "b"]
-    assert one(spark, extraction.sections(F.col("t")), t="x\n# a\ny\n## b") == ["x\n", "# a\ny\n", "## b"]
+    assert one(spark, extraction.sections(F.col("t")), t="x\n# a\ny\n## b") == ["x", "# a\ny", "## b"]
     assert one(spark, extraction.sniff_media_type(F.col("c"), F.col("p")), c=b"%PDF-1.4", p="a.txt") == "application/pdf"
     assert one(spark, extraction.sniff_media_type(F.col("c"), F.col("p")), c=b"\xff\xfe", p="a.txt") == "application/octet-stream"
     rows = spark.createDataFrame([([["a|b", None], ["<c>"]],)], "rows array<array<string>>")
-    assert rows.select(extraction.table_payload(F.col("rows")).alias("x")).first().x.split("\n")[2:] == ['| <a id="row:1"></a>1 | a\\|b |  |', '| <a id="row:2"></a>2 | &lt;c&gt; |  |']
+    assert rows.select(extraction.table_payload(F.col("rows")).alias("x")).first().x.split("\n") == ["| Column 1 | Column 2 | Source row |", "| --- | --- | --- |", '| a\\|b |  | <a id="row:1"></a> |', '| &lt;c&gt; |  | <a id="row:2"></a> |', ""]
+    assert spark.createDataFrame([([[" ", None]],)], "rows array<array<string>>").select(extraction.table_payload(F.col("rows")).alias("x")).first().x is None
+    assert one(spark, extraction.text_payload(F.col("t")), t='x<a id="line:3"></a>y<a id="foo:3">') == '<a id="line:1"></a>\n\nx&lt;a id="line:3"&gt;&lt;/a&gt;y<a id="foo:3">'
+    assert one(spark, extraction.html_text(F.col("h")), h="<svg><p>x</svg>a<math>b</math><canvas>c</canvas><tr><td>d</td><th>e</th></tr>") == "ac\n\n d e"
+    assert one(spark, extraction.json_payload(F.col("t"), lines=True), t='1\n\n[2]') == '<a id="block:1"></a>\n\n```json\n1\n```\n\n<a id="block:2"></a>\n\n```json\n[\n  2\n]\n```\n'
+    assert one(spark, extraction.needs_rendering(F.col("h")), h="<head>x</head><script>y</script> ") and not one(spark, extraction.needs_rendering(F.col("h")), h="<script>y</script>z")
+    assert one(spark, extraction.numbered_payload(F.split("t", ","), "page"), t=" a,b\n") == '<a id="page:1"></a>\n\na\n\n<a id="page:2"></a>\n\nb\n'
+    states = spark.createDataFrame([("empty_extraction", "text", True), ("low_confidence_ocr", "image", True), ("low_confidence_ocr", "pdf", True), ("converter_timeout", "image", False), (None, "pdf", True)], "code string, extractor string, agent boolean")
+    assert [r.x for r in states.select(extraction.outcome_state(*[F.col(c) for c in states.columns]).alias("x")).collect()] == ["needs_agent", "needs_agent", "failed", "failed", "ok"]
 
 
 def test_graph_and_citations(spark):
@@ -125,6 +139,7 @@ def test_evidence_events_publish(spark):
     assert evidence.packet(runs.where("run_id <> 'expansion'"), rows).first().valid is False
     seq = spark.createDataFrame([("a", 1), ("a", 2), ("a", 5)], "g string, n bigint")
     assert [tuple(r) for r in events.sequence_gaps(seq, ["g"], "n").collect()] == [("a", 2, 5)]
+    assert [tuple(r) for r in events.sequence_gaps(seq.where("n > 4"), ["g"], "n").collect()] == [("a", 0, 5)]
     before = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "path string, text string")
     manifest = spark.createDataFrame([("a", "write", hashlib.sha256(b"9").hexdigest()), ("b", "delete", None)], "path string, operation string, sha256 string")
     staged = spark.createDataFrame([("a", "9")], "path string, text string")
