@@ -55,13 +55,18 @@ def corpus_revision(sources: DataFrame) -> DataFrame:
     return sources.sparkSession.createDataFrame([(digest.hexdigest(), n)], "revision string, n_sources bigint")
 
 
-def tree_digest(rows: DataFrame, group: list[Column], bucket: Column, row: Column) -> DataFrame:
-    """Digest of ordered rows in two levels: buckets first, then their digests; no group is ever gathered whole.
+def tree_digest(rows: DataFrame, group: list[Column], buckets: list[Column], row: Column) -> DataFrame:
+    """Digest of ordered rows as a tree: rows by the finest bucket, their digests by the next, and so on up to the group.
 
+    :param buckets: from coarse to fine, each a part of the one before, so that no array holds more than a bucket's rows or a bucket's buckets.
     :return: the group columns, digest, n.
     """
     names = [f"g{k}" for k in range(len(group))]
-    leaves = rows.select(*[c.alias(n) for c, n in zip(group, names)], bucket.alias("bucket"), row.alias("row"))
-    leaves = leaves.groupBy(*names, "bucket").agg(text_sha256(F.array_join(F.array_sort(F.collect_list("row")), "\n")).alias("leaf"), F.count("*").alias("n"))
-    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "leaf"))), lambda x: x["leaf"]), "\n")
-    return leaves.groupBy(*names).agg(text_sha256(top).alias("digest"), F.sum("n").alias("n"))
+    keys = [f"b{k}" for k in range(len(buckets))]
+    level = rows.select(*[c.alias(n) for c, n in zip(group + buckets, names + keys)], row.alias("row"))
+    level = level.groupBy(*names, *keys).agg(text_sha256(F.array_join(F.array_sort(F.collect_list("row")), "\n")).alias("digest"), F.count("*").alias("n"))
+    while keys:
+        last = keys.pop()
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(last, "digest"))), lambda x: x["digest"]), "\n")
+        level = level.groupBy(*names, *keys).agg(text_sha256(joined).alias("digest"), F.sum("n").alias("n"))
+    return level

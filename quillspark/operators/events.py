@@ -37,8 +37,8 @@ def kind_counts(events: DataFrame, kinds: tuple[str, ...] = KINDS, column: str =
 
 
 def digests(events: DataFrame, group: list[F.Column], order: F.Column, row: F.Column, span: int = 1000) -> DataFrame:
-    """Digest of each group's events in order, in two levels."""
-    return tree_digest(events, group, F.floor(order / span).cast("bigint"), F.concat(F.lpad(order.cast("string"), 20, "0"), F.lit("\0"), row))
+    """Digest of each group's events in order, in three levels."""
+    return tree_digest(events, group, [F.floor(order / (span * span)).cast("bigint"), F.floor(order / span).cast("bigint")], F.concat(F.lpad(order.cast("string"), 20, "0"), F.lit("\0"), row))
 
 
 def current_events(events: DataFrame, records: DataFrame) -> DataFrame:

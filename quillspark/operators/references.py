@@ -3,9 +3,12 @@
 Keys are range-partitioned by a 64-bit hash, so that ranges are even whatever
 the keys look like. The known keys of a range are kept as one sorted array; the
 references of the range are probed against it in vectorised batches by binary
-search and only the misses come out. A range with more references than
-``batch_rows`` (one key may hold a third of all) is split by salting; the
-range's array goes to each of its parts. A key is identified by 128 hash bits.
+search and only the misses come out. The number of ranges follows from the
+number of rows that name known keys, so that an array has about RANGE_KEYS keys
+at any size. A range with more references than ``batch_rows`` (one key may hold
+a third of all) is split by salting; the range's array goes to each of its
+parts. A key is identified by 128 hash bits. The changes of state of one key are
+kept together: they are as many as the key was removed and restored.
 
 Defined results: null references are not looked up; an empty reference is a key
 like any other; null instants of a reference are before nothing and after
@@ -23,9 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.keys import fingerprint, instant_us, micros, norm_key
-from quillspark.session import shuffle_partitions
+from quillspark.session import keep, shuffle_partitions
 
-MAX_RANGES = 4096
+RANGE_KEYS = 1 << 16  # rows that name a known key, a range on the average
+MAX_RANGES = 1 << 20
 KINDS = ("deleted", "missing", "late")
 _OUT = pa.schema([("ref_id", pa.int64()), ("ref_field", pa.string()), ("at_us", pa.int64()), ("miss", pa.int8())])
 
@@ -101,20 +105,22 @@ def orphan_references(refs: DataFrame, parents: DataFrame, removals: DataFrame,
     :return: ref_id, ref_field, at_us, miss_kind; one row a miss.
     """
     spark = refs.sparkSession
-    ranges = 1 << min(int(math.log2(MAX_RANGES)), max(4, math.ceil(math.log2(shuffle_partitions(spark)))))
+    naming = parents.count() + removals.count()
+    ranges = 1 << min(int(math.log2(MAX_RANGES)), max(4, math.ceil(math.log2(shuffle_partitions(spark))), math.ceil(math.log2(max(1, naming / RANGE_KEYS)))))
     bits = int(math.log2(ranges))
     ranged = F.expr(f"cast(shiftrightunsigned(h1, {64 - bits}) as int)")
     probes = refs.where("key is not null").select("ref_id", "ref_field", "at_us", *_hashes()).withColumn("range", ranged)
-    # at most MAX_RANGES rows; only crowded ranges are split
-    crowded = {r[0]: math.ceil(r[1] / batch_rows) for r in probes.groupBy("range").count().where(F.col("count") > batch_rows).collect()}
-    parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in crowded.items() for x in pair]), F.col("range")), F.lit(1)) if crowded else F.lit(1)
-    probes = probes.withColumn("part", F.pmod(F.xxhash64("ref_id", F.lit(7)), parts).cast("int"))
+    # a row a crowded range, at most one in batch_rows references
+    crowded = keep(probes.groupBy("range").count().where(F.col("count") > batch_rows).select("range", F.ceil(F.col("count") / batch_rows).cast("int").alias("parts")), "crowded")
+    parts = F.coalesce("parts", F.lit(1))
+    probes = probes.join(crowded, "range", "left").withColumn("part", F.pmod(F.xxhash64("ref_id", F.lit(7)), parts).cast("int")).drop("parts")
     arrays = (
         known_keys(parents, removals)
         .withColumn("range", ranged)
         .groupBy("range")
         .agg(F.sort_array(F.collect_list(F.struct("h1", "h2", "since_us", "in_table", "log"))).alias("known"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
+        .join(crowded, "range", "left")
+        .select("range", "known", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     )
     missed = probes.groupBy("range", "part").cogroup(arrays.groupBy("range", "part")).applyInArrow(_probe, "ref_id bigint, ref_field string, at_us bigint, miss tinyint")
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("miss").cast("int"))

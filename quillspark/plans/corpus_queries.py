@@ -81,7 +81,7 @@ def corpus_revision(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus_revision_tree(spark: SparkSession, d: str) -> DataFrame:
     rows = hashing.revision_rows(_sources(spark, d))
-    return hashing.tree_digest(rows, [F.lit(0)], F.substring("source_id", 5, 2), F.col("row")).select("digest", "n")
+    return hashing.tree_digest(rows, [F.lit(0)], [F.substring("source_id", 5, 2), F.substring("source_id", 5, 4)], F.col("row")).select("digest", "n")
 
 
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:

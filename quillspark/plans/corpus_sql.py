@@ -75,8 +75,9 @@ SELECT doc, min(line_no) AS line_no, arg_min(line, line_no) AS line, arg_min(ter
     "content_ids": """SELECT doc_id, sha256(text) AS sha256, 'src_' || sha256('source-v1' || chr(0) || 'docs/' || doc_id || chr(0) || sha256(text)) AS source_key,
   'drv_' || sha256(sha256(text) || chr(0) || 'text' || chr(0) || '1' || chr(0)) AS derivation_key FROM documents WHERE text IS NOT NULL""",
     "corpus_revision": f"WITH {_SOURCES}, rows_ AS (SELECT source_id || chr(0) || coalesce(active_content_sha256, '') || chr(0) || coalesce(active_derivation_id, '') AS r FROM sources) SELECT sha256(string_agg(r, chr(10) ORDER BY r)) AS revision, count(*) AS n_sources FROM rows_",
-    "corpus_revision_tree": f"""WITH {_SOURCES}, rows_ AS (SELECT source_id[5:6] AS b, source_id || chr(0) || coalesce(active_content_sha256, '') || chr(0) || coalesce(active_derivation_id, '') AS r FROM sources),
-leaves AS (SELECT b, sha256(string_agg(r, chr(10) ORDER BY r)) AS leaf, count(*) AS n FROM rows_ GROUP BY b) SELECT sha256(string_agg(leaf, chr(10) ORDER BY b)) AS digest, sum(n)::BIGINT AS n FROM leaves""",
+    "corpus_revision_tree": f"""WITH {_SOURCES}, rows_ AS (SELECT source_id[5:8] AS b, source_id || chr(0) || coalesce(active_content_sha256, '') || chr(0) || coalesce(active_derivation_id, '') AS r FROM sources),
+leaves AS (SELECT b, sha256(string_agg(r, chr(10) ORDER BY r)) AS leaf, count(*) AS n FROM rows_ GROUP BY b), middle AS (SELECT b[1:2] AS c, sha256(string_agg(leaf, chr(10) ORDER BY b)) AS leaf, sum(n) AS n FROM leaves GROUP BY 1)
+SELECT sha256(string_agg(leaf, chr(10) ORDER BY c)) AS digest, sum(n)::BIGINT AS n FROM middle""",
     "exact_duplicates": "SELECT sha256, doc_id, n FROM (SELECT doc_id, sha256(text) AS sha256, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1",
     "reconcile_decisions": _DECISIONS + "SELECT path, source_id, action FROM decisions",
     "reconcile_actions": _DECISIONS + _filled(["create", "retain", "process", "rename", "ambiguous", "missing", "integrity_error", "obscured"], "action", "decisions"),
@@ -159,8 +160,9 @@ SELECT DISTINCT doc, line_no, strpos(line, link) + 1 AS from_column, strpos(line
 SELECT document, citation_id, 'support_and_counter' AS code FROM s JOIN o USING (document, citation_id) UNION ALL SELECT document, citation_id, 'unknown_citation' FROM (SELECT * FROM s UNION SELECT * FROM o) x WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.document = x.document AND k.citation_id = x.citation_id)""",
     "event_sequence_check": "SELECT user_id, before, event_id AS after FROM (SELECT user_id, event_id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0)::BIGINT AS before FROM events) WHERE event_id - before <> 1",
     "event_kind_counts": _filled(["click", "view", "purchase", "signup", "error", "refund"], "event_type", "events"),
-    "event_digest": """WITH leaves AS (SELECT event_type, event_id // 1000 AS b, count(*) AS n, sha256(string_agg(lpad(event_id::VARCHAR, 20, '0') || chr(0) || props, chr(10) ORDER BY event_id)) AS leaf FROM events WHERE props IS NOT NULL GROUP BY 1, 2)
-SELECT event_type, sha256(string_agg(leaf, chr(10) ORDER BY b)) AS digest, sum(n)::BIGINT AS n FROM leaves GROUP BY 1""",
+    "event_digest": """WITH leaves AS (SELECT event_type, event_id // 1000 AS b, count(*) AS n, sha256(string_agg(lpad(event_id::VARCHAR, 20, '0') || chr(0) || props, chr(10) ORDER BY event_id)) AS leaf FROM events WHERE props IS NOT NULL GROUP BY 1, 2),
+middle AS (SELECT event_type, b // 1000 AS c, sum(n) AS n, sha256(string_agg(leaf, chr(10) ORDER BY b)) AS leaf FROM leaves GROUP BY 1, 2)
+SELECT event_type, sha256(string_agg(leaf, chr(10) ORDER BY c)) AS digest, sum(n)::BIGINT AS n FROM middle GROUP BY 1""",
     "postimage_diff": """WITH b AS (SELECT doc_id, text, true AS i FROM documents), a AS (SELECT doc_id + CASE WHEN doc_id % 10 = 0 THEN 1000000000 ELSE 0 END AS doc_id, CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END AS text, true AS i FROM documents)
 SELECT * FROM (SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.i IS NULL THEN 'added' WHEN a.i IS NULL THEN 'removed' WHEN b.text IS DISTINCT FROM a.text THEN 'changed' END AS change FROM b FULL JOIN a ON a.doc_id = b.doc_id) WHERE change IS NOT NULL""",
     "dropped_markers": f"WITH {_MARKED} SELECT doc, count(*) AS n_dropped FROM marks WHERE doc % 3 = 0 GROUP BY doc",
