@@ -43,7 +43,6 @@ MIN_MARGIN = 0.02
 MAX_LANGUAGES = 1000
 
 PARAGRAPH = re.compile(r"\n(?:[^\S\n]*\n)+")
-NON_LATIN = re.compile(r"[Ͱ-᷿Ⰰ-꯿가-퟿]")
 
 
 def paragraphs(text: str) -> list[str]:
@@ -59,28 +58,21 @@ class Classifier:
         self.contents = [dictionaries[k] for k in self.languages]
 
     @lru_cache(maxsize=1)  # noqa: B019
-    def _compressors(self) -> list[tuple[zstandard.ZstdCompressor, bool]]:
+    def _compressors(self) -> list[zstandard.ZstdCompressor]:
         made = []
         for content in self.contents:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            text = content.decode(errors="ignore")
-            made.append((zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False), len(NON_LATIN.findall(text)) > len(text) / 4))
+            made.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False))
         return made
 
     def __getstate__(self) -> dict:
         return {"languages": self.languages, "contents": self.contents}
 
     def sizes(self, texts: list[str]) -> np.ndarray:
-        """A row a text, a column a language. A dictionary of another script isn't tried on purely Latin text."""
+        """A row a text, a column a language."""
         raw = [t.encode() for t in texts]
-        out = np.array([[len(r) + 16] for r in raw], np.int32).repeat(len(self.languages), 1)
-        other = np.array([bool(NON_LATIN.search(t)) for t in texts], bool)
-        for k, (compressor, foreign) in enumerate(self._compressors()):
-            rows = np.flatnonzero(other) if foreign else np.arange(len(raw))
-            if len(rows):
-                out[rows, k] = [len(compressor.compress(raw[i])) for i in rows]
-        return out
+        return np.array([[len(c.compress(r)) for c in self._compressors()] for r in raw], np.int32).reshape(len(raw), len(self.languages))
 
 
 def stretches(sizes: np.ndarray, switch: int = SWITCH_BYTES) -> np.ndarray:
@@ -120,7 +112,8 @@ def fit(documents: DataFrame, languages: DataFrame, text: str = "text", lang: st
     """Dictionaries from at most SAMPLE_DOCS labelled documents a language."""
     codes = label_codes(languages)
     labelled = documents.select(F.col(text).alias("text"), label_code(F.col(lang), codes).alias("code")).where("code is not null and text is not null")
-    counts = {r[0]: r[1] for r in labelled.groupBy("code").count().collect()}
+    # copies of a text are one text, both in the share to draw and in what is drawn
+    counts = {r[0]: r[1] for r in labelled.groupBy("code").agg(F.approx_count_distinct(F.xxhash64("text", F.lit(3)))).collect()}
     if not counts:
         return Classifier({c: b"\n" for c in sorted(set(codes.values()))})
     share = F.try_element_at(F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, 1.2 * SAMPLE_DOCS / n))]), F.col("code"))
@@ -128,7 +121,8 @@ def fit(documents: DataFrame, languages: DataFrame, text: str = "text", lang: st
     parts = F.filter(F.split(F.regexp_replace("text", "\r\n?", "\n"), r"\n\s*\n"), lambda p: F.length(p).between(40, SAMPLE_CHARS))
     drawn = labelled.withColumn("place", place).where(F.col("place") < share).select("code", (F.col("place") / share).alias("place"), F.slice(parts, 1, SAMPLE_PARAGRAPHS).alias("parts")).where(F.size("parts") > 0)
     sample: dict[str, list[str]] = {c: [] for c in sorted(set(codes.values()))}
-    for r in sorted(drawn.collect(), key=lambda r: (r.code, r.place, r.parts)):
+    most = 2 * SAMPLE_DOCS * len(counts)
+    for r in sorted(drawn.dropDuplicates(["code", "place"]).orderBy("place", "code").limit(most).collect(), key=lambda r: (r.code, r.place, r.parts)):
         if len(sample[r.code]) < SAMPLE_DOCS * SAMPLE_PARAGRAPHS:
             sample[r.code].extend(r.parts)
     return train(sample)

@@ -33,6 +33,8 @@ TOKENIZERS = "/opt/tokenizers"
 # fixed value: the pattern that splits text before the merges of the byte-level rank files
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_POSITIONS = 1 << 18
+HOT_SAMPLE = 256  # blocks that the most common words are looked for in
+HOT_WORDS = 10_000
 BLOCK_DOCS = 1 << 14
 
 
@@ -158,11 +160,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("docs").slice(k, 1).flatten(), pa.array(sums[bounds[1:]] - sums[bounds[:-1]])], names=["doc", "n_tokens"])
 
 
+def _hot_words(blocks: DataFrame) -> list[str]:
+    """Words of at least half of HOT_SAMPLE blocks, HOT_WORDS at most; only their way is decided by it. None in a corpus of few blocks."""
+    total = blocks.count()
+    if total < HOT_SAMPLE:
+        return []
+    drawn = blocks.where(F.pmod(F.xxhash64("block", F.lit(5)), F.lit(1 << 30)) < F.lit(int((1 << 30) * HOT_SAMPLE / total)))
+    counted = drawn.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= HOT_SAMPLE // 2)
+    return [r.word for r in counted.orderBy(F.desc("count"), "word").limit(HOT_WORDS).collect()]
+
+
 def _join_back(blocks: DataFrame, path: str, value: F.Column, kind: str) -> DataFrame:
     """The blocks, each with what its distinct words were given."""
     words = blocks.select("block", F.posexplode("words").alias("pos", "word"))
     given = encode_words(words.select("word"), path).select("word", value)
-    coded = words.join(given, "word").groupBy("block").agg(F.collect_list(F.struct("pos", kind.split(":")[0])).alias("coded"))
+    hot = _hot_words(blocks)
+    if hot:
+        # words of most blocks would all meet in one task: their few rows are sent to the blocks
+        table = blocks.sparkSession.createDataFrame([(w,) for w in hot], "word string")
+        sent = F.broadcast(encode_words(table, path).select("word", value))
+        matched = words.join(sent, "word").unionByName(words.join(F.broadcast(table), "word", "left_anti").join(given.join(F.broadcast(table), "word", "left_anti"), "word"))
+    else:
+        matched = words.join(given, "word")
+    coded = matched.groupBy("block").agg(F.collect_list(F.struct("pos", kind.split(":")[0])).alias("coded"))
     empty = F.array().cast(f"array<struct<pos:int,{kind}>>")
     return blocks.drop("words").join(coded, "block", "left").select("docs", "lengths", "codes", F.coalesce("coded", empty).alias("coded"))
 

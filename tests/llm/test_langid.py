@@ -68,3 +68,15 @@ def test_empty_and_unlabelled(spark):
     assert L.detect(empty, L.fit(empty, languages), languages).count() == 0
     none = spark.createDataFrame([(1, "some words without any label at all", None)], "doc_id bigint, text string, lang string")
     assert L.detect(none, L.fit(none, languages), languages).first().rejected
+
+
+def test_copies_of_a_text_are_drawn_once(spark):
+    """Copies of one labelled text neither fill the sample nor reach the driver."""
+    from pyspark.sql import functions as F
+
+    words = {"en": "the record of the harbour office names every letter", "de": "der Vermerk des Hafenamts nennt jeden einzelnen Brief"}
+    languages = spark.createDataFrame([(c, c, [c]) for c in words], "lang_code string, lang_name string, spellings array<string>")
+    own = spark.createDataFrame([(f"{words[c]} {k} {k * k}", c) for c in words for k in range(30)], "text string, lang string")
+    copies = spark.range(100_000).select(F.lit(words["en"] + " again and again").alias("text"), F.lit("en").alias("lang"))
+    model = L.fit(own.unionByName(copies), languages)
+    assert dict(zip(model.languages, model.contents))["en"].count(b"again and again") <= 2

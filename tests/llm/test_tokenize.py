@@ -54,3 +54,12 @@ def test_round_trip_and_counts(spark, reference):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert T.encode_texts(empty).count() == 0 and T.decode_ids(T.encode_texts(empty)).count() == 0
+
+
+def test_words_of_most_blocks_go_their_own_way(spark, monkeypatch):
+    rows = [(k, f"the word the {k} the {'x' * (k % 5)}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    plain = {r.doc_id: r.ids for r in T.encode_texts(docs).collect()}
+    monkeypatch.setattr(T, "HOT_SAMPLE", 2)
+    assert " the" in T._hot_words(T.word_blocks(docs, "doc_id", "text"))
+    assert {r.doc_id: r.ids for r in T.encode_texts(docs).collect()} == plain
