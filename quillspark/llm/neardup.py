@@ -8,15 +8,18 @@ path of sampled tokens. How many tokens the paths begin with follows from how
 alike a few sampled sets are, so that the first buckets aren't all too large to
 compare; a bucket of more than ``LIMIT`` sets is split by ``BRANCHES`` further
 tokens chosen by its path, level by level, and smaller buckets are compared by
-brute force. Runs are repeated until pairs at the threshold are met with the
-wanted recall, splits included.
+brute force. No path draws a token twice. Runs are repeated until a pair at the
+threshold is met with the wanted recall even if its buckets are split on every
+level, the spread of the number of sampled tokens that such a pair shares
+included.
 Comparing in a bucket uses a sketch of four bits of each sampled token; the
 pairs it lets through are checked exactly on the texts.
 
 Defined results: null, empty and blank texts and those of fewer than five words
 have no sequences and are in no pair; repeated rows of an id count once; equal
 texts have similarity 1. On the last level whole buckets are compared, whatever
-their size, so that no pair is lost to a cap.
+their size, so that no pair is lost to a cap: a bucket of more than LIMIT sets
+is cut into parts, and each two parts meet in a bucket of their own.
 """
 
 from __future__ import annotations
@@ -37,11 +40,13 @@ from quillspark.session import bounded_batches, keep
 WORDS = 5
 WIDTH = 64
 LIMIT = 512
-BRANCHES = 3
+BRANCHES = 8
 DEPTH = 6
 SAMPLE = 1000  # sets that the first depth is estimated from
 SKETCH = ("s1", "s2", "s3", "s4")
-RECALL = 0.999
+RECALL = 0.99
+RUNS_MOST = 512  # runs are named by nine bits of a path
+_RUN_BITS = np.uint64(RUNS_MOST - 1)
 HOT_SHARE = 1000  # a bucket with more than one in so many rows is split without being gathered
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,10 +65,32 @@ _B = _RNG.integers(0, 1 << 32, WIDTH, dtype=np.uint64).astype(np.uint32)
 _POWERS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def runs_needed(similarity: float, first: int, recall: float = RECALL) -> int:
-    """Runs after which a pair at the threshold is met with the wanted probability, if paths begin with so many tokens and are split once more."""
-    meet = similarity**first * (1 - (1 - similarity) ** BRANCHES)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+def recall(similarity: float, first: int, runs: int) -> float:
+    """Probability that a pair at the threshold meets in a bucket of the last level.
+
+    Of the WIDTH sampled tokens such a pair shares a binomial number; all runs
+    draw from these. A run keeps the pair if all tokens that it begins with are
+    shared, and at least one of BRANCHES on each of the levels that follow.
+    """
+    k = np.arange(WIDTH + 1)
+    weight = np.array([math.comb(WIDTH, int(x)) * similarity ** int(x) * (1 - similarity) ** (WIDTH - int(x)) for x in k])
+    meet = np.ones(WIDTH + 1)
+    for i in range(first):
+        meet *= np.maximum(k - i, 0) / (WIDTH - i)
+    none = np.ones(WIDTH + 1)
+    for i in range(BRANCHES):
+        none *= np.maximum(WIDTH - k - i, 0) / (WIDTH - first - i)
+    meet *= (1 - np.minimum(none, 1)) ** (DEPTH - 1)
+    return float((weight * (1 - (1 - meet) ** runs)).sum())
+
+
+def runs_needed(similarity: float, first: int, wanted: float = RECALL) -> int:
+    """Runs after which a pair at the threshold is met with the wanted probability; RUNS_MOST where these don't suffice."""
+    low, high = 1, RUNS_MOST
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if recall(similarity, first, middle) >= wanted else (middle + 1, high)
+    return low
 
 
 def first_depth(best: np.ndarray, total: int) -> int:
@@ -160,6 +187,7 @@ def sign_texts(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _paths(level: int, runs: int, first: int):
     """Bucket keys of each row: the first tokens of all runs, or the further tokens that a full bucket's path chooses."""
+    orders = _orders(runs, first)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,27 +199,38 @@ def _paths(level: int, runs: int, first: int):
             with np.errstate(over="ignore"):
                 if level:
                     path, rows = batch.column("key").to_numpy().view(np.uint64), np.arange(n)
+                    run = (path & _RUN_BITS).astype(np.int64)
                     for j in range(BRANCHES):
-                        place = mix64(path + np.uint64(1000 * level + j) * _MIX) % np.uint64(WIDTH)
-                        made.append(mix64(mix64(path + np.uint64(j + 1) * _MIX) ^ (best[rows, place.astype(np.int64)] + (place << np.uint64(32)))))
+                        place = orders[run, first + BRANCHES * (level - 1) + j]
+                        made.append((mix64(mix64(path + np.uint64(j + 1) * _MIX) ^ (best[rows, place] + (place.astype(np.uint64) << np.uint64(32)))) & ~_RUN_BITS) | run.astype(np.uint64))
                 else:
-                    for places in _first_places(runs, first):
+                    for run in range(runs):
                         path = np.zeros(n, np.uint64)
-                        for place in places:
+                        for place in orders[run, :first]:
                             path = mix64(mix64(path + _MIX) ^ (best[:, place] + (np.uint64(place) << np.uint64(32))))
-                        made.append(path)
+                        made.append((path & ~_RUN_BITS) | np.uint64(run))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), *[pa.concat_arrays([batch.column(c)] * len(made)) for c in ("doc", *SKETCH)]], names=["key", "doc", *SKETCH])
 
     return keys
 
 
-def _first_places(runs: int, first: int) -> list[np.ndarray]:
-    """The sampled tokens that each run's paths begin with: drawn in turn, so that runs share as few as can be."""
+def _orders(runs: int, first: int) -> np.ndarray:
+    """The order in which each run draws the sampled tokens: those it begins with are drawn in turn, so that runs share as few as can be, and none is drawn twice."""
     rng = np.random.default_rng(7)
-    drawn: list[int] = []
-    while len(drawn) < runs * first:
-        drawn += rng.permutation(WIDTH).tolist()
-    return [np.unique(drawn[r * first : (r + 1) * first]) for r in range(runs)]
+    waiting: list[int] = []
+    out = np.empty((runs, WIDTH), np.int64)
+    for r in range(runs):
+        begin: list[int] = []
+        while len(begin) < first:
+            waiting = waiting or rng.permutation(WIDTH).tolist()
+            place = next((p for p in waiting if p not in begin), None)
+            if place is None:
+                waiting = []
+                continue
+            waiting.remove(place)
+            begin.append(place)
+        out[r] = begin + [p for p in rng.permutation(WIDTH).tolist() if p not in begin]
+    return out
 
 
 def _compare(limit: int, least: int, last: bool):
@@ -285,6 +324,8 @@ def candidate_pairs(signed: DataFrame, similarity: float) -> DataFrame:
                 keys = spark.createDataFrame([(k,) for k in hot], "key bigint")  # at most HOT_SHARE rows
                 skipped = entries.join(F.broadcast(keys), "key", "left_semi").select(F.col("doc").alias("a"), F.lit(None).cast("bigint").alias("b"), "key")
                 entries = entries.join(F.broadcast(keys), "key", "left_anti")
+        else:
+            entries = _parted(entries)
         met = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(LIMIT, least, last), schema)
         met = keep(met.unionByName(skipped) if skipped is not None else met, f"met{level}")
         found.append(met.where("b is not null").select("a", "b"))
@@ -295,6 +336,17 @@ def candidate_pairs(signed: DataFrame, similarity: float) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def _parted(entries: DataFrame) -> DataFrame:
+    """Entries of the last level: a bucket of more than LIMIT sets becomes a bucket for each two of its parts."""
+    full = entries.groupBy("key").count().where(F.col("count") > LIMIT).select("key", F.ceil(F.col("count") / LIMIT).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("doc", F.lit(21)), F.col("parts")).cast("int")
+    sized = entries.join(full, "key", "left").withColumn("own", own)
+    small = sized.where("parts is null").select(entries.columns)
+    met = sized.where("parts is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select(entries.columns)
+    return small.unionByName(met)
+
+
 def _hot_keys(entering: DataFrame, level: int, runs: int, first: int) -> list[int]:
     """Keys that hold more than one in HOT_SHARE rows, by the rows of one in 16 sets; only their way is decided by it."""
     sample = entering.where(F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(16)) == 0)
@@ -356,8 +408,9 @@ def _state(edges: DataFrame) -> tuple:
 def connected(links: DataFrame) -> DataFrame:
     """Node and least node of its component, by alternating large and small stars.
 
-    Each round only reads and writes pairs; a node with many neighbours is
-    spread by a minimum aggregated before the shuffle.
+    Each round only reads and writes pairs. The least neighbour of a node is
+    aggregated before the shuffle; the edges of a node with many neighbours meet
+    the one row of their node in a join that adaptive execution splits.
     """
     edges = keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = _state(edges)

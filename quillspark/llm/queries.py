@@ -86,4 +86,16 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p5_found": p5_found, "p5_article": p5_article, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 
-ORACLE = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+_PAIRS = """p AS (SELECT payload_id, any_value(markdown) AS t FROM extracted_payloads WHERE markdown IS NOT NULL AND payload_id IS NOT NULL GROUP BY 1), w AS (SELECT payload_id, regexp_extract_all(lower(t), '[\\pL\\p{Nd}]+') AS w FROM p),
+s AS (SELECT DISTINCT payload_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) >= 5), n AS (SELECT payload_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS whole FROM s GROUP BY 1),
+shared AS (SELECT a.payload_id AS a, b.payload_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.payload_id < b.payload_id GROUP BY 1, 2), pairs AS (SELECT a, b, x.whole = y.whole AS same FROM shared JOIN n x ON x.payload_id = a JOIN n y ON y.payload_id = b WHERE k::DOUBLE / (x.n + y.n - k) >= 0.5)"""
+_GROUPS = f"""WITH RECURSIVE {_PAIRS}, members AS (SELECT payload_id, min(payload_id) OVER (PARTITION BY whole) AS class_id FROM n),
+links AS (SELECT DISTINCT least(x.class_id, y.class_id) AS a, greatest(x.class_id, y.class_id) AS b FROM pairs JOIN members x ON x.payload_id = a JOIN members y ON y.payload_id = b WHERE NOT same), ends AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT class_id AS u, class_id AS v FROM members UNION SELECT r.u, e.v FROM reach r JOIN ends e ON e.u = r.v), tops AS (SELECT u, min(v) AS group_id FROM reach GROUP BY 1), degree AS (SELECT u, count(*) AS n FROM ends GROUP BY 1)
+SELECT payload_id, group_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM members JOIN tops ON tops.u = class_id LEFT JOIN degree d ON d.u = class_id"""
+
+ORACLE = {
+    "p3_found": f"WITH {_PAIRS} SELECT a AS payload_a, b AS payload_b FROM pairs",
+    "p3_groups": _GROUPS,
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}

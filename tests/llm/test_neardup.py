@@ -89,3 +89,34 @@ def test_sets_and_sketches():
 def test_empty(spark):
     members, links = N.near_duplicates(spark.createDataFrame([], SCHEMA), "payload_id", "markdown", 0.5)
     assert N.similar_pairs(members, links).count() == 0 and N.groups(members, links).count() == 0
+
+
+def test_recall_at_every_depth():
+    """Planted pairs at a similarity of 0.55, all of whose buckets are split on every level."""
+    rng = np.random.default_rng(3)
+    pairs = []
+    for _ in range(400):
+        x = rng.integers(0, 1 << 63, 310, dtype=np.uint64)
+        pairs.append((N.minima(x[:240]), N.minima(x[70:])))  # 170 of 310 are shared
+    same = np.array([a == b for a, b in pairs])
+    for first in range(1, 6):
+        runs = N.runs_needed(0.5, first)
+        orders = N._orders(runs, first)
+        assert all(len(set(o)) == N.WIDTH for o in orders.tolist())
+        kept = same[:, orders[:, :first]].all(2)
+        for level in range(1, N.DEPTH):
+            at = first + N.BRANCHES * (level - 1)
+            kept &= same[:, orders[:, at : at + N.BRANCHES]].any(2)
+        assert kept.any(1).mean() >= 0.98, (first, runs)
+        assert runs == N.RUNS_MOST or N.recall(0.5, first, runs) >= N.RECALL
+
+
+def test_full_buckets_of_the_last_level_are_cut(spark, monkeypatch):
+    texts = {i: t for i, t in corpus(9).items() if t}
+    signed = N.keep(N.sign_texts(spark.createDataFrame(list(texts.items()), "id bigint, text string"), "id", "text"), "t")
+    sets = signed.dropDuplicates(["set1", "set2"]).select("doc", "minima", *N.SKETCH)
+    monkeypatch.setattr(N, "first_depth", lambda best, total: 1)
+    monkeypatch.setattr(N, "DEPTH", 1)
+    whole = {tuple(r) for r in N.candidate_pairs(sets, 0.5).collect()}
+    monkeypatch.setattr(N, "LIMIT", 2)
+    assert {tuple(r) for r in N.candidate_pairs(sets, 0.5).collect()} == whole
