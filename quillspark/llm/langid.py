@@ -72,7 +72,8 @@ class Classifier:
     def sizes(self, texts: list[str]) -> np.ndarray:
         """A row a text, a column a language."""
         raw = [t.encode() for t in texts]
-        return np.array([[len(c.compress(r)) for c in self._compressors()] for r in raw], np.int32).reshape(len(raw), len(self.languages))
+        # a dictionary at a time, so that it stays in the processor's cache
+        return np.array([[len(c.compress(r)) for r in raw] for c in self._compressors()], np.int32).reshape(len(self.languages), len(raw)).T
 
 
 def stretches(sizes: np.ndarray, switch: int = SWITCH_BYTES) -> np.ndarray:
