@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.keys import instant_us, norm_key
-from quillspark.session import keep
+from quillspark.session import keep, shuffle_partitions
 
 RUN_SCHEMA = "entity string, payload string, begin_us bigint, end_us bigint, node bigint, final boolean"
 _ARROW = pa.schema([("entity", pa.string()), ("payload", pa.string()), ("begin_us", pa.int64()), ("end_us", pa.int64()), ("node", pa.int64()), ("final", pa.bool_())])
@@ -117,7 +117,8 @@ def validity_periods(facts: DataFrame) -> DataFrame:
     :return: entity, payload, begin_us, end_us (null: still held).
     """
     facts = facts.select("entity", "payload", "at_us", "rank").where("entity is not null and payload is not null and at_us is not null")
-    blocks = facts.repartitionByRange("entity", "at_us").sortWithinPartitions("entity", "at_us", "rank", "payload")
+    # an explicit number, so that small tables are cut into blocks as well
+    blocks = facts.repartitionByRange(shuffle_partitions(facts.sparkSession), "entity", "at_us").sortWithinPartitions("entity", "at_us", "rank", "payload")
     runs = keep(blocks.mapInArrow(_fold_block, RUN_SCHEMA), "history")
     last = runs.agg(F.max("node")).first()[0] or 0
     edges = runs.where(~F.col("final"))

@@ -62,21 +62,30 @@ def unheld_pointers(records: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str) -> str:
-    """Write a new snapshot folder, then switch the pointer at once; what was published before stays readable."""
+    """Write a new snapshot folder, then switch the pointer at once; what was published before stays readable.
+
+    The pointer is written and renamed through the folder's own file system, so
+    that a shared store serves as well as a local one.
+    """
     name = f"v-{uuid.uuid4().hex}"
     df.write.parquet(os.path.join(root, name))
-    path = root.removeprefix("file://")
-    temporary = os.path.join(path, f".current-{uuid.uuid4().hex}")
-    with open(temporary, "w") as f:
-        json.dump({"snapshot": name}, f)
-    os.replace(temporary, os.path.join(path, "CURRENT"))
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = lambda n: jvm.org.apache.hadoop.fs.Path(os.path.join(root, n))
+    temporary = path(f".current-{uuid.uuid4().hex}")
+    stream = temporary.getFileSystem(conf).create(temporary, True)
+    stream.writeBytes(json.dumps({"snapshot": name}))
+    stream.close()
+    overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = df.sparkSession.sparkContext._gateway.new_array(overwrite, 1)
+    options[0] = overwrite.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.getFileSystem(conf).getUri(), conf).rename(temporary, path("CURRENT"), options)
     return name
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:
     """The snapshot that the pointer names; one never switched to isn't seen."""
-    with open(os.path.join(root.removeprefix("file://"), "CURRENT")) as f:
-        return spark.read.parquet(os.path.join(root, json.load(f)["snapshot"]))
+    pointer = spark.read.text(os.path.join(root, "CURRENT")).first()[0]
+    return spark.read.parquet(os.path.join(root, json.loads(pointer)["snapshot"]))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
