@@ -190,3 +190,29 @@ def test_page_reciprocity_takes_every_relation(spark, tmp_path):
     got = [tuple(r) for r in QUERIES["page_reciprocity"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((path(a), path(b)) for a, b in edges if (b, a) not in edges)
     assert 0 < len(got) < len(edges)
+
+
+def test_skips_gaps_and_chains(spark):
+    live = spark.createDataFrame([("a/new", 1, 1, "s9", None)], "path string, byte_size bigint, mtime_ns bigint, sha256 string, url string")
+    records = spark.createDataFrame([("s1", "a/x", 1, 1, "s1", None), ("s2", "b/y", 1, 1, "s2", None)], "source_id string, path string, byte_size bigint, mtime_ns bigint, sha256 string, url string")
+    skip = lambda p: spark.createDataFrame([(p,)], "path string")
+    actions = lambda s: {r.source_id: r.action for r in reconcile.reconcile(live, records, s).collect()}
+    assert actions(skip("a")) == {None: "create", "s1": "obscured", "s2": "missing"}
+    assert actions(skip(None)) == {None: "create", "s1": "obscured", "s2": "obscured"}
+    states = spark.createDataFrame([("s1", "failed", "p1", ["x", "y"]), ("s2", "warning", "p2", None), ("s3", "ok", "p3", ["z"]), ("s4", "extracting", "p4", None)], "source_id string, state string, path string, codes array<string>")
+    skipped = spark.createDataFrame([("q", "unreadable")], "path string, code string")
+    assert {tuple(r) for r in reconcile.coverage_gaps(states, skipped).collect()} == {(None, "unreadable", "q"), ("s1", "x", "p1"), ("s1", "y", "p1"), ("s2", "source_warning", "p2")}
+    events_ = spark.createDataFrame([("a", 1, "1", "2", 10), ("a", 2, "2", "3", 20), ("b", 3, "1", "2", 10), ("b", 4, "1", "3", 20), ("c", 5, "1", "2", 10), ("c", 6, "2", "1", 20), ("d", 7, "9", "2", 10)], "source_id string, event_id bigint, prior_sha256 string, adopted_sha256 string, at_us bigint")
+    held = spark.createDataFrame([("a", "1", 5), ("a", "2", 10), ("a", "3", 20), ("b", "1", 5), ("b", "2", 10), ("b", "3", 20), ("c", "1", 5), ("c", "2", 11), ("d", "2", 10), ("e", "1", 5), ("f", "1", 5), ("f", "2", 6)], "source_id string, sha256 string, since_us bigint")
+    active = spark.createDataFrame([("a", "3"), ("b", "3"), ("c", "1"), ("d", "2"), ("e", "1"), ("f", "1")], "source_id string, active string")
+    assert {tuple(r) for r in reconcile.chain_breaks(events_, held, active).collect()} == {("b", 4, "prior_mismatch"), ("c", 5, "first_seen_differs"), ("c", 6, "adopted_again"), ("d", 7, "root_not_held"), ("f", None, "held_outside_chain")}
+
+
+def test_fences_within_the_row(spark):
+    text = "# a\n```\n# b\n```\n# c\n\n~~~ x\n# d\n"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "x")], "id bigint, text string")
+    assert sorted((r.doc, r.line_no, r.line) for r in markdown.outside_code(docs, "id", "text").collect()) == [(1, 1, "# a"), (1, 5, "# c"), (1, 6, ""), (4, 1, "x")]
+    assert {(r.doc, r.line_no, r.offset) for r in markdown.line_offsets(spark.createDataFrame([(1, "a\r\nb\rc\n")], "id bigint, text string"), "id", "text").collect()} == {(1, 1, 0), (1, 2, 3), (1, 3, 5), (1, 4, 7)}
+    rows = spark.createDataFrame([("k",), ("k",), ("m",)], "kind string").withColumn("at", F.monotonically_increasing_id())
+    log = events.event_log(rows, ["at"]).collect()
+    assert sorted((r.sequence, r.line, r.kind, r.n) for r in log if r.line != "header") == [(1, "event", "k", 1), (2, "event", "k", 1), (3, "event", "m", 1), (4, "trailer", "k", 2), (4, "trailer", "m", 1)]
