@@ -36,8 +36,9 @@ def rename_groups(unmatched: DataFrame) -> DataFrame:
 def reconcile(live: DataFrame, ledger: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """path, source_id, action.
 
-    The two sides meet once by path; what is left over is counted by key and
-    joined with its counts, so that no pairs of equal keys are ever formed.
+    The two sides meet by path; what is left over is counted by key, and every
+    row is judged in one pass with the counts of its key, so that no pairs of
+    equal keys are ever formed.
 
     :param live: path, byte_size, mtime_ns, sha256, url; one row a path.
     :param ledger: source_id, path, byte_size, mtime_ns, sha256, url.
@@ -46,28 +47,28 @@ def reconcile(live: DataFrame, ledger: DataFrame, skipped: DataFrame | None = No
     both = live.dropDuplicates(["path"]).alias("l").join(ledger.alias("r"), F.col("l.path") == F.col("r.path"), "full_outer")
     same = F.col("l.sha256").eqNullSafe(F.col("r.sha256")) & F.col("l.url").eqNullSafe(F.col("r.url"))
     untouched = ~changed_metadata("l", "r") & F.col("l.sha256").isNull() & F.col("l.url").eqNullSafe(F.col("r.url"))
-    action = F.when(untouched | same, "retain").when(F.col("l.url").isNotNull(), "process").otherwise("integrity_error")
-    matched = both.where("l.path is not null and r.path is not null").select(F.col("l.path").alias("path"), F.col("r.source_id").alias("source_id"), action.alias("action"))
+    met = F.col("l.path").isNotNull() & F.col("r.path").isNotNull()
     is_new = F.col("r.path").isNull()
     key = F.when(is_new, content_key(F.col("l.url"), F.col("l.sha256"))).otherwise(content_key(F.col("r.url"), F.col("r.sha256")))
-    rest = both.where("l.path is null or r.path is null").select(F.coalesce("l.path", "r.path").alias("path"), F.col("r.source_id").alias("source_id"), is_new.alias("is_new"), key.alias("key"))
-    hidden = None
+    action = F.when(met, F.when(untouched | same, "retain").when(F.col("l.url").isNotNull(), "process").otherwise("integrity_error")).otherwise(F.when(is_new, "create").otherwise("missing"))
+    rows = both.select(F.coalesce("l.path", "r.path").alias("path"), F.col("r.source_id").alias("source_id"), met.alias("met"), is_new.alias("is_new"), F.when(~met, key).alias("key"), action.alias("action"))
     if skipped is not None:
         # every folder above a path is a key, so that it is an equal join
         parts = F.split("path", "/")
-        at = rest.where("not is_new").withColumn("above", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
+        gone = rows.where("action = 'missing'").select("path", "source_id")
+        at = gone.withColumn("above", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
         everything = skipped.where("path is null").select(F.lit(True).alias("every")).limit(1)
         scopes = skipped.where("path is not null").select(F.col("path").alias("above")).distinct()
-        below = at.join(scopes, "above", "left_semi").select("path", "source_id")
         # one row at most is joined to all
-        hidden = below.unionByName(rest.where("not is_new").join(F.broadcast(everything)).select("path", "source_id")).distinct()
-        rest = rest.join(hidden.select("path", "source_id", F.lit(True).alias("hidden")), ["path", "source_id"], "left").where("hidden is null").drop("hidden")
-    one = (F.col("n_new") == 1) & (F.col("n_gone") == 1)
-    alone = F.when(F.col("is_new"), "create").otherwise("missing")
-    judged = rest.where("key is not null").join(rename_groups(rest), "key", "left").where(~F.coalesce(one & ~F.col("is_new"), F.lit(False)))
-    judged = judged.select("path", F.when(F.coalesce(one, F.lit(False)), F.col("only")).otherwise(F.col("source_id")).alias("source_id"), F.when(F.col("n_new").isNull(), alone).when(one, "rename").otherwise("ambiguous").alias("action"))
-    out = matched.unionByName(judged).unionByName(rest.where("key is null").select("path", "source_id", alone.alias("action")))
-    return out if hidden is None else out.unionByName(hidden.withColumn("action", F.lit("obscured")))
+        hidden = at.join(scopes, "above", "left_semi").select("path", "source_id").unionByName(gone.join(F.broadcast(everything)).select("path", "source_id")).distinct()
+        rows = rows.join(hidden.withColumn("hidden", F.lit(True)), ["path", "source_id"], "left")
+        rows = rows.withColumns({"key": F.when(F.col("hidden").isNull(), F.col("key")), "action": F.when(F.col("hidden"), "obscured").otherwise(F.col("action"))}).drop("hidden")
+    # rows without a key meet no group; a key of their own spreads them over all partitions
+    groups = rename_groups(rows.where("key is not null"))
+    joined = rows.withColumn("key", F.coalesce("key", F.concat(F.lit("none:"), "path"))).join(groups, "key", "left")
+    one = F.coalesce((F.col("n_new") == 1) & (F.col("n_gone") == 1), F.lit(False))
+    kept = joined.where(~(one & ~F.col("is_new")))
+    return kept.select("path", F.when(one, F.col("only")).otherwise(F.col("source_id")).alias("source_id"), F.when(F.col("n_new").isNull(), F.col("action")).when(one, "rename").otherwise("ambiguous").alias("action"))
 
 
 def zero_filled(counted: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
