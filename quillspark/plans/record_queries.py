@@ -279,10 +279,10 @@ def html_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT doc_id AS doc, (row_number() OVER (PARTITION BY doc_id ORDER BY i))::VARCHAR AS anchor_value, length(s) AS n_chars FROM (
-  SELECT doc_id, i, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '(?m)^(#{1,6} )', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(1)) AND NOT contains(text, '<a id=')))) WHERE s <> ''""")
+  SELECT doc_id, i, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '<a id="((line|page|slide|sheet|section|row|block):[A-Za-z0-9._:/-]+)"></a>', '&lt;a id="\\1"&gt;&lt;/a&gt;', 'g'), '(?m)^(#{1,6} )', chr(1114109) || '\\1', 'g'), chr(1114109)) AS parts FROM documents WHERE text IS NOT NULL))) WHERE s <> ''""")
 def text_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections that begin at headings, numbered."""
-    docs = table(spark, d, "documents").where("text is not null and not contains(text, chr(1)) and not contains(text, '<a id=')")
+    docs = table(spark, d, "documents").where("text is not null")
     return extraction.numbered_parts(docs, "doc_id", extraction.sections(F.col("text")), "section").select("doc", "anchor_value", F.length("content").cast("bigint").alias("n_chars"))
 
 
@@ -325,11 +325,11 @@ def text_measures(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", strings.has_control(t).alias("control"), F.octet_length(t).cast("bigint").alias("n_bytes"), F.length(t).cast("bigint").alias("n_chars"))
 
 
-@query("""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n|\\r|\\n', '\\0' || chr(1), 'g'), chr(1)) AS l FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(1))), r AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM p)
+@query("""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n|\\r|\\n', '\\0' || chr(1114109), 'g'), chr(1114109)) AS l FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM p)
 SELECT doc_id AS doc, i AS line_no, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM r""")
 def line_offsets(spark: SparkSession, d: str) -> DataFrame:
     """where each physical line begins; CR, LF and CRLF end lines."""
-    return markdown.line_offsets(table(spark, d, "documents").where("text is not null and not contains(text, chr(1))"), "doc_id", "text")
+    return markdown.line_offsets(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("""SELECT capture_id, 'src_' || sha256('source-v1' || chr(0) || '_web/' || capture_id || chr(0) || """ + _key("sha256") + """) AS source_key, trim(split_part(lower(detected_media_type), ';', 1)) AS media FROM (SELECT DISTINCT capture_id, sha256, detected_media_type FROM rendered_captures WHERE sha256 IS NOT NULL)""")
