@@ -6,9 +6,10 @@ page. The stream's suffix array and the lengths of common prefixes give what
 several pages share: whole units between two boundaries (a line, an item of a
 menu), and any substring of LONG_TOKENS or more. Hosts of few pages repeat
 little, so they are pooled to one stream in which what several hosts share
-counts as well. Large hosts are cut into blocks; what two pages of a block share
-is counted over all blocks of the host by the hash of its tokens, and every
-block is then matched with what the host as a whole repeats.
+counts as well. Large hosts are cut into blocks and the small ones into pools.
+What is frequent in one of the blocks is counted exactly over all of them by the
+hash of its tokens: what is frequent as a whole is so in at least one block. Every
+block is then matched with what the host, or all pools together, repeat.
 
 What is repeated is boilerplate, unique runs are kept, and an outline corrects
 this: repeated headings over text that is kept, tables with a row of their own
@@ -46,6 +47,8 @@ BLOCK_PAGES = 200  # pages that a block of a large host has at least on average
 POOL_BELOW = 128 << 10  # hosts with less text than this are pooled
 LONG_TOKENS = 20  # least length of a repeated substring that is boilerplate, boundaries included
 COVERED = 0.8  # share of a sentence's or heading's tokens that is repeated
+ALL_POOLS = "all pools"  # scope of what the small hosts repeat over all pools
+FILTER_BITS = 1 << 26  # hashes to count again are looked up in a table of so many bits first; the join that follows is exact
 SAMPLE_PAGES = 3000
 SAMPLE_CHARS = 100_000  # pages as long as this aren't drawn for the sample
 TOKEN = re.compile(r"\w+")
@@ -140,6 +143,11 @@ def often_hosts(hosts: int, tokens: int) -> int:
     return max(8, math.ceil(0.05 * hosts)) if tokens >= LONG_TOKENS else max(3, math.ceil(0.01 * hosts))
 
 
+def least_in_one(needed: int, blocks: int) -> int:
+    """What at least one of the blocks has if they have so many together."""
+    return -(-needed // blocks)
+
+
 def _hash(words: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words))
 
@@ -201,13 +209,18 @@ class Stream:
 
 
 def shared(pages: list[list[str]], owners: list[int], least: Callable[[int], int]) -> dict[int, int]:
-    """What pages share, by suffix array: the hashes of units and long substrings with the number of owners that have them.
+    """What pages share, by suffix array: the hashes of units and long substrings with the number of owners that have them."""
+    return {h: n for h, (n, _) in shared_sizes(pages, owners, least).items()}
+
+
+def shared_sizes(pages: list[list[str]], owners: list[int], least: Callable[[int], int]) -> dict[int, tuple[int, int]]:
+    """What pages share: hash, number of owners, and tokens.
 
     :param owners: the owner of each page; pages of one owner count once.
     :param least: owners that must share a substring of so many tokens.
     """
     s = Stream(pages)
-    out: dict[int, int] = {}
+    out: dict[int, tuple[int, int]] = {}
     if not len(s.unit_start):
         return out
     order, common = suffix_array(s.tokens, max(LONG_TOKENS, int(s.unit_size.max()) + 2))
@@ -217,23 +230,40 @@ def shared(pages: list[list[str]], owners: list[int], least: Callable[[int], int
 
     owner = np.array(owners, np.int64)
 
-    def report(at: np.ndarray, length: int, needed: int, hashes: np.ndarray) -> None:
+    def report(at: np.ndarray, length: int, tokens: int, hashes: np.ndarray) -> None:
         group = np.cumsum(common < length)[place[at]]
         pairs = np.unique(group * len(pages) + owner[s.page[at]])
         counts = np.unique(pairs // len(pages), return_counts=True)[1]
         first = np.unique(group, return_index=True)[1]
-        many = counts >= needed
-        out.update(zip(hashes[first[many]].tolist(), counts[many].tolist()))
+        many = counts >= least(tokens)
+        out.update((h, (n, tokens)) for h, n in zip(hashes[first[many]].tolist(), counts[many].tolist()))
 
     # a unit is its tokens between two boundaries; what shares them is such a unit itself
     for size in np.unique(s.unit_size):
         own = np.flatnonzero(s.unit_size == size)
-        report(s.unit_start[own] - 1, int(size) + 2, least(int(size)), s.unit_hash[s.unit_id[own]])
-    report(np.flatnonzero(windows), LONG_TOKENS, least(LONG_TOKENS), windows[windows > 0])
+        report(s.unit_start[own] - 1, int(size) + 2, int(size), s.unit_hash[s.unit_id[own]])
+    report(np.flatnonzero(windows), LONG_TOKENS, LONG_TOKENS, windows[windows > 0])
     out.pop(0, None)
     return out
 
 
+def occurring(pages: list[list[str]], owners: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of units and long substrings whose bit is set, and the number of owners that have them."""
+    s = Stream(pages)
+    windows = s.window_hashes()
+    units = s.unit_hash[s.unit_id] if len(s.unit_id) else np.zeros(0, np.uint64)
+    hashes = np.r_[units, windows]
+    owner = np.array(owners, np.int64)[np.r_[s.page[s.unit_start] if len(s.unit_id) else np.zeros(0, np.int64), s.page]]
+    place = (hashes % np.uint64(FILTER_BITS)).astype(np.int64)
+    wanted = (hashes > 0) & (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+    hashes, owner = hashes[wanted], owner[wanted]
+    order = np.lexsort((owner, hashes))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return np.unique(hashes[new], return_counts=True)
+
+
 def coverage(pages: list[list[str]], known: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each page and line: the share of its words that the given hashes cover, and whether they have a unit of it.
 
@@ -273,26 +303,41 @@ def _lines(text: str) -> list[tuple[int, str]]:
 
 
 def _blocks(pages: DataFrame) -> DataFrame:
-    """payload_id, host, text, block, whole (the host is in one block), pool; and the host's distinct texts and blocks."""
+    """payload_id, host, text, block, small (in a pool); the host's distinct texts and blocks (cuts), the number of pools and of hosts in them."""
     sizes = pages.groupBy("host").agg(F.sum(F.length("text")).alias("bytes"), F.count_distinct(F.xxhash64("text")).alias("texts"))
     small = F.col("bytes") < POOL_BELOW
     # by size, but so that a block has many pages; a host's pages are spread evenly by hash
     cuts = F.greatest(F.lit(1), F.least(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("texts") / BLOCK_PAGES)))
     sizes = sizes.select("host", "texts", small.alias("small"), F.when(small, F.lit(1)).otherwise(cuts).cast("int").alias("cuts"), "bytes")
-    pooled = sizes.where("small").agg(F.sum("bytes")).first()[0] or 0
-    pool = F.concat(F.lit("pool "), F.pmod(F.xxhash64("host"), F.lit(max(1, math.ceil(pooled / BLOCK_BYTES)))))
+    pooled, hosts = sizes.where("small").agg(F.sum("bytes"), F.count("*")).first()
+    pools = max(1, math.ceil((pooled or 0) / BLOCK_BYTES))
+    pool = F.concat(F.lit("pool "), F.pmod(F.xxhash64("host"), F.lit(pools)))
     part = F.pmod(F.xxhash64("text", F.lit(3)), F.col("cuts"))  # copies of a text meet
-    placed = pages.join(sizes.drop("bytes"), "host")
+    placed = pages.join(sizes.drop("bytes"), "host").withColumns({"pools": F.lit(pools), "pool_hosts": F.lit(hosts)})
     return placed.withColumn("block", F.when(F.col("small"), pool).otherwise(F.concat(F.lit("host "), "host", F.lit(" "), part)))
 
 
+def _owners(pages: list[list[str]]) -> list[int]:
+    """Number of each page's text: copies have the same."""
+    texts_of: dict[tuple, int] = {}
+    return [texts_of.setdefault(tuple(own), len(texts_of)) for own in pages]
+
+
+def _hash_table(rows: list[tuple], names: list[str]) -> pa.Table:
+    """scope, hash and numbers."""
+    cols = list(zip(*rows)) if rows else [()] * (2 + len(names))
+    unsigned = np.array(cols[1], np.uint64).view(np.int64)
+    return pa.table({"scope": pa.array(cols[0], pa.string()), "hash": pa.array(unsigned, pa.int64())} | {c: pa.array(v, pa.int64()) for c, v in zip(names, cols[2:])})
+
+
 def host_repeats(placed: DataFrame) -> DataFrame:
-    """scope and hash of all that a host (scope: its name) or a pool of hosts repeats.
+    """scope and hash of all that a host (scope: its name), a pool of hosts (its block) or all pools together repeat.
 
-    A scope in one block is judged there. A host of several blocks is judged by
-    the sum over its blocks of what at least two texts of the block share; a
-    block has BLOCK_PAGES pages or more, so that what 2 % of all pages have is
-    met at least twice in nearly every block.
+    A scope in one block is judged there. A scope of several blocks is judged by
+    the exact sum over all its blocks: of what reaches the needed number as a
+    whole at least one block has its part of it (needed / blocks) and reports
+    it. Where the reports alone leave open whether the number is reached, every
+    block is counted again, down to what a single page of a block has.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -300,40 +345,71 @@ def host_repeats(placed: DataFrame) -> DataFrame:
         pages = [[s for _, s in _lines(t)] for t in group["text"].to_pylist()]
         hosts, texts, cuts = (group[c].to_pylist() for c in ("host", "texts", "cuts"))
         names = sorted(set(hosts))
-        scopes, hashes, counts, needed = [], [], [], []
+        rows: list[tuple] = []
         if group["small"][0].as_py():
             number = {h: k for k, h in enumerate(names)}
-            found = shared(pages, [number[h] for h in hosts], lambda tokens: often_hosts(len(names), tokens))
-            pool = group["block"][0].as_py()
-            scopes, hashes, counts, needed = [pool] * len(found), list(found), list(found.values()), [0] * len(found)
+            block, pools, pool_hosts = (group[c][0].as_py() for c in ("block", "pools", "pool_hosts"))
+            part = lambda tokens: least_in_one(often_hosts(pool_hosts, tokens), pools)
+            for h, (n, tokens) in shared_sizes(pages, [number[h] for h in hosts], lambda tokens: min(often_hosts(len(names), tokens), part(tokens))).items():
+                if n >= often_hosts(len(names), tokens):
+                    rows.append((block, h, n, n, 1))
+                if pools > 1 and n >= part(tokens):
+                    rows.append((ALL_POOLS, h, n, often_hosts(pool_hosts, tokens), pools))
         for h in names:
             own = [k for k, x in enumerate(hosts) if x == h]
-            whole = cuts[own[0]] == 1
-            enough = often(texts[own[0]])
-            if len(own) >= (enough if whole else 2):
-                texts_of: dict[tuple, int] = {}
-                copy = [texts_of.setdefault(tuple(pages[k]), len(texts_of)) for k in own]
-                found = shared([pages[k] for k in own], copy, lambda tokens, needed=enough if whole else 2: needed)
-                scopes += [h] * len(found)
-                hashes += list(found)
-                counts += list(found.values())
-                needed += [0 if whole else enough] * len(found)
-        unsigned = np.array(hashes, np.uint64).view(np.int64)
-        return pa.table({"scope": pa.array(scopes, pa.string()), "hash": pa.array(unsigned, pa.int64()), "n": pa.array(counts, pa.int64()), "needed": pa.array(needed, pa.int64())})
-
-    kept = placed.select("block", "payload_id", "host", "text", "texts", "small", "cuts")
-    found = kept.groupBy("block").applyInArrow(run, "scope string, hash bigint, n bigint, needed bigint")
-    return found.groupBy("scope", "hash").agg(F.sum("n").alias("n"), F.max("needed").alias("needed")).where("n >= needed").select("scope", "hash")
+            enough, blocks = often(texts[own[0]]), cuts[own[0]]
+            least = least_in_one(enough, blocks)
+            if len(own) >= least:
+                mine = [pages[k] for k in own]
+                rows += [(h, x, n, enough, blocks) for x, n in shared(mine, _owners(mine), lambda tokens, least=least: least).items()]
+        return _hash_table(rows, ["n", "needed", "blocks"])
+
+    kept = placed.select("block", "payload_id", "host", "text", "texts", "small", "cuts", "pools", "pool_hosts")
+    found = kept.groupBy("block").applyInArrow(run, "scope string, hash bigint, n bigint, needed bigint, blocks bigint")
+    reported = keep(found.groupBy("scope", "hash").agg(F.sum("n").alias("n"), F.max("needed").alias("needed"), F.max("blocks").alias("blocks"), F.count("*").alias("reports")), "reported")
+    # a block that doesn't report has less than its part
+    most = F.col("n") + (F.col("blocks") - F.col("reports")) * (F.ceil(F.col("needed") / F.col("blocks")) - 1)
+    sure = reported.where("n >= needed").select("scope", "hash")
+    unsure = reported.where((F.col("n") < F.col("needed")) & (most >= F.col("needed"))).select("scope", "hash", "needed")
+    return sure.unionByName(_counted_again(placed, unsure))
+
+
+def _counted_again(placed: DataFrame, unsure: DataFrame) -> DataFrame:
+    """scope and hash of what all blocks of its scope together have as often as needed."""
+    spark = placed.sparkSession
+    places = unsure.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("place")).distinct().toArrow()["place"].to_numpy()
+    if not len(places):
+        return unsure.select("scope", "hash")
+    filled = np.zeros(FILTER_BITS, bool)
+    filled[places] = True
+    bits = spark.sparkContext.broadcast(np.packbits(filled, bitorder="little"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("payload_id")
+        pages = [[s for _, s in _lines(t)] for t in group["text"].to_pylist()]
+        scope, hosts = group["scope"][0].as_py(), group["host"].to_pylist()
+        number = {h: k for k, h in enumerate(sorted(set(hosts)))}
+        hashes, counts = occurring(pages, [number[h] for h in hosts] if group["small"][0].as_py() else _owners(pages), bits.value)
+        return pa.table({"scope": pa.array([scope] * len(hashes), pa.string()), "hash": pa.array(hashes.view(np.int64), pa.int64()), "n": pa.array(counts, pa.int64())})
+
+    scoped = placed.select("block", "payload_id", "host", "text", "small", F.when(F.col("small"), F.lit(ALL_POOLS)).otherwise(F.col("host")).alias("scope"))
+    scoped = scoped.join(unsure.select("scope").distinct(), "scope", "left_semi")
+    counted = scoped.groupBy("block").applyInArrow(run, "scope string, hash bigint, n bigint").join(unsure, ["scope", "hash"])
+    return counted.groupBy("scope", "hash").agg(F.sum("n").alias("n"), F.max("needed").alias("needed")).where("n >= needed").select("scope", "hash")
 
 
 def line_repeats(placed: DataFrame, repeats: DataFrame) -> DataFrame:
     """payload_id, text, and line_no, share, touched: arrays over the non-blank lines.
 
     Each block gets the hashes of its scopes. They are few: of what is on 2 % of
-    the pages there is at most fifty times a page's length.
+    the pages there is at most fifty times a page's length. What all pools repeat
+    is on 1 % of the small hosts, at most a hundred times such a host's length,
+    and is sent to all.
     """
+    everywhere = np.sort(repeats.where(F.col("scope") == ALL_POOLS).select("hash").toArrow()["hash"].to_numpy().view(np.uint64))
+    common = placed.sparkSession.sparkContext.broadcast(everywhere)
     scopes = placed.select("block", F.explode(F.when(F.col("small"), F.array("block", "host")).otherwise(F.array("host"))).alias("scope")).distinct()
-    sent = repeats.join(scopes, "scope").select("block", "scope", "hash")
+    sent = repeats.join(scopes, "scope").select(F.col("block").alias("to"), "scope", "hash")
     kind = dict(placed.dtypes)["payload_id"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -345,9 +421,9 @@ def line_repeats(placed: DataFrame, repeats: DataFrame) -> DataFrame:
         parts = dict(zip(names, np.split(hashes[order], list(starts[1:])))) if len(order) else {}
         sets: dict[tuple, np.ndarray] = {}
         known = []
-        for block, host in zip(left["block"].to_pylist(), left["host"].to_pylist()):
+        for block, host, small in zip(left["block"].to_pylist(), left["host"].to_pylist(), left["small"].to_pylist()):
             if (block, host) not in sets:
-                sets[block, host] = np.unique(np.concatenate([parts.get(host, hashes[:0]), parts.get(block, hashes[:0])]))
+                sets[block, host] = np.unique(np.concatenate([parts.get(host, hashes[:0]), parts.get(block, hashes[:0]), common.value if small else hashes[:0]]))
             known.append(sets[block, host])
         got = coverage([[s for _, s in own] for own in numbered], known) if numbered else []
         return pa.table(
@@ -360,8 +436,8 @@ def line_repeats(placed: DataFrame, repeats: DataFrame) -> DataFrame:
             }
         )
 
-    pages = placed.select("block", "payload_id", "host", "text")
-    return pages.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, f"payload_id {kind}, text string, line_no array<int>, share array<float>, touched array<boolean>")
+    pages = placed.select("block", "payload_id", "host", "text", "small")
+    return pages.groupBy("block").cogroup(sent.groupBy("to")).applyInArrow(run, f"payload_id {kind}, text string, line_no array<int>, share array<float>, touched array<boolean>")
 
 
 class Outline:
@@ -514,7 +590,7 @@ def _judged(pages: DataFrame) -> tuple[DataFrame, object]:
     spark = pages.sparkSession
     bounded_batches(spark)
     placed = keep(_blocks(_pages(pages)), "pages")
-    known = keep(line_repeats(placed, host_repeats(placed)), "repeats")
+    known = keep(line_repeats(placed, keep(host_repeats(placed), "shared")), "repeats")
     return known, spark.sparkContext.broadcast(learn_notices(_sample(known)))
 
 

@@ -118,6 +118,45 @@ def test_blocks_of_a_host_are_joined(spark, monkeypatch):
     assert one == {(i, 3) for i in range(240)} == {tuple(r) for r in B.page_boilerplate(pages).collect()}
 
 
+def test_what_one_page_of_a_block_has_counts(spark):
+    """A unit and a long paragraph that reach the needed number only with the single pages of other blocks; one page less doesn't."""
+    rng = random.Random(10)
+    s = lambda k: " ".join(f"w{rng.randrange(10**9)}" for _ in range(k))
+    legal, short, rare, stock, gone = s(30), "Help and contact", "Nearly often enough", "Kept by three hosts", "Kept by two hosts"
+    rows = []
+    for i in range(400):  # 2 % are 8 pages: 6, 1 and 1 in three blocks
+        block = 0 if i < 200 else 1 if i < 300 else 2
+        own = [s(5)] + ([f"{s(3)} {legal} {s(2)}", short] if i < 6 or i in (250, 350) else []) + ([rare] if i < 6 or i == 250 else [])
+        rows.append((f"host big {block}", i, "big", "\n".join(own), 400, False, 3, 2, 40))
+    for i in range(40):
+        own = [s(5)] + ([stock] if i in (3, 4, 30) else []) + ([gone] if i in (3, 30) else [])
+        rows.append((f"pool {i // 20}", 1000 + i, f"h{i}", "\n".join(own), 1, True, 1, 2, 40))
+    placed = spark.createDataFrame(rows, "block string, payload_id bigint, host string, text string, texts bigint, small boolean, cuts int, pools int, pool_hosts bigint")
+    got = {(r.scope, r.hash % 2**64) for r in B.host_repeats(placed).collect()}
+    named = lambda text: B._hash(text.split())
+    assert {x for x in got if x[1] in {named(short), named(rare), named(stock), named(gone)}} == {("big", named(short)), (B.ALL_POOLS, named(stock))}
+    windows = B.Stream([[legal]]).window_hashes()[1:12]
+    assert {("big", int(w)) for w in windows} <= got
+    lines = {r.payload_id: r.share for r in B.line_repeats(placed, B.host_repeats(placed)).collect()}
+    assert lines[250][2] == 1 and lines[250][1] > 0.8 and lines[250][3] == 0 and lines[1030][1:] == [1.0, 0.0]
+
+
+def test_blocks_and_pools_repeat_what_one_stream_repeats(spark, monkeypatch):
+    """Around the needed number, any cut into blocks finds what a single block finds."""
+    rng = random.Random(11)
+    rows = [(i, f"h{i % 150}.example" if i % 2 else "big.example", [f"own{i}", *(f"item{k}" for k in range(60) if rng.random() < k / 1200)]) for i in range(600)]
+    pages = spark.createDataFrame([(i, h, "\n".join(own)) for i, h, own in rows], "payload_id bigint, host string, text string")
+    monkeypatch.setattr(B, "POOL_BELOW", 3000)
+    repeats = lambda scope: {r.hash for r in B.host_repeats(B._blocks(B._pages(pages))).collect() if r.scope == scope}
+    one, pool = repeats("big.example"), repeats("pool 0")
+    assert 10 < len(one) < 50 and len(pool) > 10
+    monkeypatch.setattr(B, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(B, "BLOCK_PAGES", 30)
+    blocks = {r.block for r in B._blocks(B._pages(pages)).collect()}
+    assert len(blocks) > 6
+    assert repeats("big.example") == one and repeats(B.ALL_POOLS) == pool
+
+
 def test_articles(spark):
     rows, truth = site()
     pages = spark.createDataFrame([(i, B.re.sub(r"^https://WWW[.]|:.*", "", u), t) for i, u, t in rows], "payload_id bigint, host string, text string")
