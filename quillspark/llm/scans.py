@@ -12,8 +12,9 @@ decide by counts of the joined and the hyphenated form and of the parts.
 an inverted join on character trigrams; boosted trees rank the candidates and
 decide by relative counts, by what the reading changed, and by how common the
 sequences of characters are. What readings change is learnt from the corpus:
-words of scans that clean text lacks are aligned with their candidates, and an
-expectation-maximisation over the aligned pairs gives a channel of confusions.
+all words of scans that are rare in clean text are aligned with their
+candidates, and an expectation-maximisation over the aligned pairs gives a
+channel of confusions.
 The trees are fitted on words of the corpus that are split or sent through this
 channel here.
 
@@ -52,7 +53,8 @@ SAMPLE_SCANS = 500  # scans that the trees for furniture are fitted on, at most
 SAMPLE_CHARS = 60_000
 SAMPLE_WORDS = 3000  # words of the corpus that the trees are fitted on
 RARER = 50  # how much rarer in clean text than its true spelling a misspelling is, at least
-CHANNEL_WORDS = 12_000  # words of scans that the channel is learnt from
+CHANNEL_WORDS = 12_000  # words of scans up to which the channel is learnt on the driver; from more it is learnt by joins, with the same result
+NEW_WORD = 2e-4  # share of words that stem from no candidate, against pairs never met elsewhere
 GRAM_BUCKETS = 1 << 20  # counts of character sequences are kept by hash, so that their size is bounded
 LEAST_SHARED = ((10, 0.5), (6, 0.4), (0, 0.3))  # share of a word's trigrams that a candidate has, by their number
 ANCHOR = re.compile(r'<a id="[^"]*"></a>\s*$')
@@ -502,6 +504,24 @@ class Channel:
         return word[:at] + read + word[at + len(true) :]
 
 
+def word_options(read: str, known: list[tuple[str, int]]) -> list[tuple[tuple[str, str], float, float]]:
+    """What tells a word from its candidates: each pair once, with its part of the candidates and its weight against the best of them."""
+    options = []
+    for true, n in known:
+        r, t, at = differing(read, true)
+        if not r or not t:  # something lost or added: with the character before it
+            a, b = (1, 0) if at else (0, 1)
+            r, t = read[at - a : at + len(r) + b], true[at - a : at + len(t) + b]
+        if 0 < len(r) <= 3 and 0 < len(t) <= 3:
+            options.append(((r, t), float(n) ** 0.5))
+    top = max((n for _, n in options), default=1.0)
+    parts: dict[tuple[str, str], tuple[float, float]] = {}
+    for pair, n in options:
+        part, weight = parts.get(pair, (0.0, 0.0))
+        parts[pair] = part + 1.0 / len(options), weight + n / top
+    return [(pair, *x) for pair, x in parts.items()]
+
+
 def learn_channel(offered: list[tuple[str, list[tuple[str, int]]]], rounds: int = 8, least: float = 2.0) -> Channel:
     """Expectation-maximisation over words that clean text lacks and their candidates.
 
@@ -511,36 +531,45 @@ def learn_channel(offered: list[tuple[str, list[tuple[str, int]]]], rounds: int
 
     :param least: sum of shares below which a pair is left out.
     """
-    words = []
-    for read, known in offered:
-        options = []
-        for true, n in known:
-            r, t, at = differing(read, true)
-            if not r or not t:  # something lost or added: with the character before it
-                a, b = (1, 0) if at else (0, 1)
-                r, t = read[at - a : at + len(r) + b], true[at - a : at + len(t) + b]
-            if 0 < len(r) <= 3 and 0 < len(t) <= 3:
-                options.append(((r, t), float(n) ** 0.5))
-        if options:
-            words.append(options)
+    words = [options for read, known in offered if (options := word_options(read, known))]
     weights: dict[tuple[str, str], float] = {}
     for options in words:
-        for pair, _ in options:
-            weights[pair] = weights.get(pair, 0.0) + 1.0 / len(options)
+        for pair, part, _ in options:
+            weights[pair] = weights.get(pair, 0.0) + part
     for _ in range(rounds):
         total = max(1e-9, sum(weights.values()))
-        new = 2e-3  # share of words that stem from no candidate, against pairs never met elsewhere
         following: dict[tuple[str, str], float] = {}
         for options in words:
-            top = max(n for _, n in options)
-            scores = [weights.get(pair, 0.0) / total * n / top for pair, n in options]
-            whole = sum(scores) + new * 0.1
-            for (pair, _), x in zip(options, scores):
+            scores = [weights.get(pair, 0.0) / total * n for pair, _, n in options]
+            whole = sum(scores) + NEW_WORD
+            for (pair, _, _), x in zip(options, scores):
                 following[pair] = following.get(pair, 0.0) + x / whole
         weights = following
     return Channel({pair: w for pair, w in weights.items() if w >= least})
 
 
+def learn_channel_joined(offered: DataFrame, rounds: int = 8, least: float = 2.0) -> Channel:
+    """learn_channel over any number of words: weights meet the words' options by a join each round, only the pairs of the channel are collected.
+
+    :param offered: word, known.
+    """
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, *pair, part, n) for w, ks in zip(batch.column("word").to_pylist(), batch.column("known").to_pylist()) for pair, part, n in word_options(w, [(k["entry"], k["n"]) for k in ks])]
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), *(pa.array(c, pa.float64()) for c in cols[3:])], names=["word", "read", "true", "part", "n"])
+
+    options = keep(offered.select("word", "known").mapInArrow(expand, "word string, read string, true string, part double, n double"), "options")
+    weights = keep(options.groupBy("read", "true").agg(F.sum("part").alias("weight")), "weights")
+    for _ in range(rounds):
+        total = max(1e-9, weights.agg(F.sum("weight")).first()[0] or 0.0)
+        scored = options.join(weights, ["read", "true"]).select("word", "read", "true", (F.col("weight") / F.lit(total) * F.col("n")).alias("x"))
+        shares = scored.select("read", "true", (F.col("x") / (F.sum("x").over(Window.partitionBy("word")) + F.lit(NEW_WORD))).alias("x"))
+        weights = keep(shares.groupBy("read", "true").agg(F.sum("x").alias("weight")), "weights")
+    return Channel({(r.read, r.true): r.weight for r in weights.where(F.col("weight") >= F.lit(least)).orderBy("read", "true").collect()})
+
+
 class Speller:
     """Ranks corrections of words that are rare in clean text, and says which are misread."""
 
@@ -790,14 +819,23 @@ def _scan_words(scans: DataFrame, lexicon: DataFrame, common: float) -> DataFram
     return met.select("word", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < common)
 
 
-def _fit(scans: DataFrame, lexicon: DataFrame, frequent: dict[str, int], common: float) -> Speller:
-    """Learn the channel and fit the trees on bounded samples of the corpus' own words."""
-    spark = lexicon.sparkSession
-    own = keep(_drawn(keep(_scan_words(scans, lexicon, common), "rare"), CHANNEL_WORDS, 17), "channel")
+def _channel(rare: DataFrame, known: DataFrame) -> Channel:
+    """The channel of all words of scans that are rare in clean text.
+
+    :param rare: word, n; :param known: word and its candidates.
+    """
     # a word stems from one that clean text has far more often
     stems = F.filter("known", lambda k: k["n"] >= RARER * F.col("n"))
-    offered = candidates(own.select("word"), lexicon).join(own, "word").select("word", stems.alias("known")).where(F.size("known") > 0).orderBy("word").limit(2 * CHANNEL_WORDS).toArrow()
-    channel = learn_channel([(w, [(k["entry"], k["n"]) for k in ks]) for w, ks in zip(offered["word"].to_pylist(), offered["known"].to_pylist())])
+    offered = keep(known.join(rare, "word").select("word", stems.alias("known")).where(F.size("known") > 0), "stems")
+    if offered.count() > CHANNEL_WORDS:
+        return learn_channel_joined(offered)
+    found = offered.orderBy("word").toArrow()
+    return learn_channel([(w, [(k["entry"], k["n"]) for k in ks]) for w, ks in zip(found["word"].to_pylist(), found["known"].to_pylist())])
+
+
+def _fit(channel: Channel, lexicon: DataFrame, frequent: dict[str, int]) -> Speller:
+    """Fit the trees on bounded samples of the corpus' own words, sent through the channel."""
+    spark = lexicon.sparkSession
     speller = Speller(channel, *_sequences(lexicon))
     rng = np.random.default_rng(11)
     drawn = _drawn(lexicon.where(F.length("word") >= 3), int(1.5 * SAMPLE_WORDS), 13).orderBy("word").limit(2 * SAMPLE_WORDS).collect()
@@ -911,7 +949,9 @@ def find_noise(payloads: DataFrame) -> DataFrame:
     common = max(2, COMMON_SHARE * total)
     frequent = {r.word: r.n for r in lexicon.where(F.col("n") >= common).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
     stamps, heads = _templates(scans)
-    fitted = _fit(scans, lexicon, frequent, common)
+    rare = keep(_scan_words(scans, lexicon, common), "rare")
+    known = keep(candidates(rare.select("word"), lexicon), "known")
+    fitted = _fit(_channel(rare, known), lexicon, frequent)
     speller = spark.sparkContext.broadcast(fitted)
     digits = fitted.channel.digits()
     drawn = scans.where(F.length("text") <= SAMPLE_CHARS).select(F.xxhash64("text", F.lit(19)).alias("place"), "text").orderBy("place", "text").limit(SAMPLE_SCANS).collect()
@@ -936,7 +976,9 @@ def find_noise(payloads: DataFrame) -> DataFrame:
     asks = keep(scans.select("payload_id", "text").mapInArrow(ask, ASKS.format(kind=kind)), "asks")
     words = asks.where("role <> 'furniture'").select(F.explode(F.array("word", "other")).alias("word"), "cap").where("word is not null").groupBy("word").agg(F.min("cap").alias("cap"))
     counted = keep(words.join(lexicon.drop("cap"), "word", "left"), "counted")
-    offered = counted.join(candidates(counted.select("word"), lexicon), "word", "left")
+    # words that the channel was learnt from have their candidates
+    others = keep(counted.select("word").join(rare.select("word"), "word", "left_anti"), "others")
+    offered = counted.join(known.unionByName(candidates(others, lexicon)), "word", "left")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -161,6 +161,28 @@ def test_channel_is_learnt():
     assert channel.digits() == {"l": "1", "|": "1"}
 
 
+def test_channel_of_all_words(spark):
+    """More words than the driver takes are learnt from as well, with the same weights; none is left out."""
+    rng = random.Random(7)
+    offered = sorted({(w.replace("e", "c", 1) if k % 2 else w[:2] + rng.choice("xyz") + w[2:], tuple((x, 20 + len(x)) for x in [w, *rng.sample(WORDS, 3)])) for k, w in enumerate(rng.choices(WORDS, k=600))})
+    words = {read: [(x, n) for x, n in known] for read, known in offered}
+    want = S.learn_channel(list(words.items()))
+    frame = spark.createDataFrame([(w, [{"entry": x, "n": n} for x, n in ks]) for w, ks in words.items()], "word string, known array<struct<entry:string,n:bigint>>")
+    got = S.learn_channel_joined(frame)
+    assert got.logs.keys() == want.logs.keys() and all(abs(got.logs[p] - want.logs[p]) < 1e-9 for p in want.logs) and len(want.logs) > 1
+
+
+def test_no_word_is_left_out_of_the_channel(spark, monkeypatch):
+    payloads, _ = corpus(spark)
+    fit, caught = S._fit, []
+    monkeypatch.setattr(S, "_fit", lambda *a: caught.append(fit(*a)) or caught[-1])
+    for size in (S.CHANNEL_WORDS, 4):
+        monkeypatch.setattr(S, "CHANNEL_WORDS", size)
+        S.find_noise(payloads)
+    one, many = (c.channel.logs for c in caught)
+    assert len(one) > 1 and one.keys() == many.keys() and all(abs(one[p] - many[p]) < 1e-9 for p in one)
+
+
 def damaged(spark, planted=False):
     payloads, truth = corpus(spark)
     if planted:
