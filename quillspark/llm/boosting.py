@@ -23,6 +23,8 @@ class Boosted:
         share = min(max(y.mean(), 1e-3), 1 - 1e-3)
         self.base = float(np.log(share / (1 - share)))
         score = np.full(len(y), self.base)
+        width = max((len(e) for e in self.edges), default=0) + 1
+        codes = b + np.arange(b.shape[1]) * width  # the bins of all columns side by side
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
             grad, hess = y - p, np.maximum(p * (1 - p), 1e-6)
@@ -32,7 +34,7 @@ class Boosted:
                 for k in range(1 << level, 1 << (level + 1)):
                     rows = np.flatnonzero(node == k)
                     if len(rows):
-                        tree[k] = self._node(b[rows], grad[rows], hess[rows], level == self.depth)
+                        tree[k] = self._node(codes[rows], width, grad[rows], hess[rows], level == self.depth)
                 for k, t in tree.items():
                     if t[0] == "split" and (1 << level) <= k < (1 << (level + 1)):
                         rows = np.flatnonzero(node == k)
@@ -41,32 +43,33 @@ class Boosted:
             score += self._leaves(b, tree)
         return self
 
-    def _node(self, b: np.ndarray, g: np.ndarray, h: np.ndarray, leaf: bool) -> tuple:
+    def _node(self, codes: np.ndarray, width: int, g: np.ndarray, h: np.ndarray, leaf: bool) -> tuple:
         total, weight = g.sum(), h.sum() + 1.0
-        best = (1e-6, None)
         if not leaf and len(g) >= 2 * self.least:
-            for k in range(b.shape[1]):
-                n = len(self.edges[k]) + 1
-                gs, hs, cs = (np.cumsum(np.bincount(b[:, k], v, n))[:-1] for v in (g, h, np.ones(len(g))))
-                fits = (cs >= self.least) & (len(g) - cs >= self.least)
-                if fits.any():
-                    gain = np.where(fits, gs**2 / (hs + 1) + (total - gs) ** 2 / (weight - hs) - total**2 / weight, -1)
-                    at = int(gain.argmax())
-                    if gain[at] > best[0]:
-                        best = (float(gain[at]), (k, at))
-        return ("leaf", self.rate * total / weight) if best[1] is None else ("split", *best[1])
+            columns = codes.shape[1]
+            flat, size = codes.ravel(), columns * width
+            gs, hs, cs = (np.cumsum(np.bincount(flat, v, size).reshape(columns, width), 1)[:, :-1] for v in (np.repeat(g, columns), np.repeat(h, columns), None))
+            fits = (cs >= self.least) & (len(g) - cs >= self.least)
+            if fits.any():
+                gain = np.where(fits, gs**2 / (hs + 1) + (total - gs) ** 2 / (weight - hs) - total**2 / weight, -1)
+                k, at = divmod(int(gain.argmax()), width - 1)
+                if gain[k, at] > 1e-6:
+                    return ("split", k, at)
+        return ("leaf", self.rate * total / weight)
 
-    @staticmethod
-    def _leaves(b: np.ndarray, tree: dict[int, tuple]) -> np.ndarray:
-        node, out = np.ones(len(b), np.int64), np.zeros(len(b))
-        for k in sorted(tree):
-            rows = np.flatnonzero(node == k)
-            t = tree[k]
+    def _leaves(self, b: np.ndarray, tree: dict[int, tuple]) -> np.ndarray:
+        """Values of the rows' leaves: all rows go down level by level; from a leaf above the last level they go left."""
+        size = 1 << (self.depth + 1)
+        column, cut, value = np.zeros(size, np.int64), np.full(size, self.bins, np.int64), np.zeros(size)
+        for k, t in tree.items():
             if t[0] == "leaf":
-                out[rows] = t[1]
+                value[k << (self.depth + 1 - k.bit_length())] = t[1]
             else:
-                node[rows] = 2 * k + (b[rows, t[1]] > t[2])
-        return out
+                column[k], cut[k] = t[1], t[2]
+        node, flat, start = np.ones(len(b), np.int64), b.ravel(), np.arange(len(b)) * b.shape[1]
+        for _ in range(self.depth):
+            node = 2 * node + (flat[start + column[node]] > cut[node])
+        return value[node]
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probability of the class 1."""

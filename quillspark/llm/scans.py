@@ -45,6 +45,7 @@ from quillspark.session import bounded_batches, keep, shuffle_partitions
 
 SCANNED = ("pdf", "image")
 MARKS = "-‐¬­"
+REMEMBERED = 200  # characters of a line up to which its plain form and template are remembered
 EDGE = 3  # lines at the top and bottom of a page that may be furniture
 TEMPLATE_PAYLOADS = 12  # payloads that make a line a template of the corpus
 FREQUENT = 50_000  # entries of the lexicon in the index that is sent out; all others meet the words by a shuffle
@@ -77,6 +78,11 @@ def plain_letters(text: str) -> str:
     text = text.lower()
     if text.isascii():
         return text
+    return (_plain if len(text) <= REMEMBERED else _plain.__wrapped__)(text)
+
+
+@lru_cache(maxsize=1 << 14)
+def _plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
@@ -100,6 +106,11 @@ def reads_as(token: str, number: int) -> bool:
 
 def template(line: str) -> str:
     """Line with its numbers put alike."""
+    return (_template if len(line) <= REMEMBERED else _template.__wrapped__)(line)
+
+
+@lru_cache(maxsize=1 << 14)
+def _template(line: str) -> str:
     return " ".join("0" if re.search(r"\d", w) else w for w in re.split(r"[\s/]+", line.strip().lower()))
 
 
@@ -163,17 +174,18 @@ class Scan:
         self.title = ""
         self.heading_no = 0
         for k, line in enumerate(self.lines, 1):
-            if ANCHOR.match(line.strip()):
-                if line.strip().startswith('<a id="page:') or not self.pages:
+            bare = line.strip()
+            if bare.startswith("<a") and ANCHOR.match(bare):
+                if bare.startswith('<a id="page:') or not self.pages:
                     self.pages.append(Page(not self.pages))
-            elif line.strip():
+            elif bare:
                 if not self.pages:
                     self.pages.append(Page(True))
                 p = self.pages[-1]
                 if line.startswith("#") and not self.title:
                     self.title, self.heading_no = line.lstrip("# ").strip(), k
                 p.no.append(k)
-                p.text.append(line.strip())
+                p.text.append(bare)
                 p.indent.append(len(line) - len(line.lstrip()))
         if stamps is not None:
             self.stamps, self.heads = stamps, heads or set()
@@ -403,7 +415,8 @@ def line_asks(scan: Scan, frequent: dict[str, int]) -> Iterator[tuple]:
                 whole = lines[k + 1][1].split()[0]
                 skip = whole[whole.find(right) + len(right) :] or " "
         for c, chunk in enumerate(chunks):
-            if chunk.strip(CHUNK_EDGE).lower() in frequent and not (joined and c == len(chunks) - 1) and "(" not in chunk:
+            # most chunks are plain common words already
+            if (chunk in frequent or chunk.strip(CHUNK_EDGE).lower() in frequent) and not (joined and c == len(chunks) - 1) and "(" not in chunk:
                 continue
             own = parts_of(chunk)
             if joined and c == len(chunks) - 1:
